@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op9_exact_dedup
+from .language_id import op5_language_id
 from .sharding import op3_feistel_sharding
 
 QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op5_language_id": op5_language_id,
+    "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
