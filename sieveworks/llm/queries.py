@@ -6,13 +6,16 @@ from .bpe import op8_bpe
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op9_exact_dedup
 from .language_id import op5_language_id
+from .mixing import op4_raked_mixing
+from .mixing import oracle as mixing_sql
 from .sharding import op3_feistel_sharding
 
 QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_raked_mixing": op4_raked_mixing,
     "op5_language_id": op5_language_id,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL = {"op9_exact_dedup": EXACT_DEDUP_SQL}
+ORACLE_SQL = {"op4_raked_mixing": mixing_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
