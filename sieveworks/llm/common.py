@@ -73,28 +73,35 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of the links (a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star: every step is a distributed group-by, hot nodes are
-    combined before the shuffle, links and labels never reach the driver.  The number of rounds
-    grows with the logarithm of the longest path.  Links written each round cut the lineage.
+    combined before the shuffle, links and labels never reach the driver.  The least neighbours are
+    written before they are joined, so that a node with very many links is an ordinary skewed join,
+    which Spark splits.  Tables written each round cut the lineage; the last round's go when it is over.
     """
     spark = edges.sparkSession
-    links, path = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    paths: list[str] = []
+
+    def table(df: DataFrame) -> DataFrame:
+        out, path = stored(df, "links")
+        paths.append(path)
+        return out
+
+    links = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        old = paths[:-1]
+        del paths[:-1]
+        for path in old:
+            remove(spark, path)
         # large-star: neighbours above a node move to the least of its neighbourhood
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small-star: neighbours below a node, and itself, move to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(
-            F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")
-        ).select("x.a", "x.b").where("a <> b").distinct()
-        new, new_path = stored(small, "links")
-        # settled when every node has one link and no target is itself linked further
-        n = new.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
-        deep = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() if n["n"] == n["d"] else 1
-        remove(spark, path)
-        links, path = new, new_path
-        if n["n"] == n["d"] and not deep:
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")))
+        moved = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
+        links = table(large.join(low, "a").select(moved.alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        # settled when every node has one link, and to a node that has none
+        n = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("d")).first()
+        if n["n"] == n["d"] and links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi").isEmpty():
             break
     roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

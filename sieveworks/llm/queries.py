@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op9_exact_dedup
 from .language_id import op5_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL = {"op4_raked_mixing": mixing_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
