@@ -36,3 +36,37 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(64).integers(1, 2**64, 256, dtype=np.uint64)
+_BYTE[_SPACE] = 0
+
+
+def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit finaliser."""
+    h = (h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(1, n), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes other than ASCII white space), and where each text's begin."""
+    x = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[x]
+    before = np.append(True, space[:-1])
+    first, last = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    inside = np.arange(len(x)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(x)]])))
+    h = np.add.reduceat(_BYTE[x] * powers(0x9E3779B97F4A7C15, int((np.diff(np.append(first, len(x)))).max()) + int(first[0]) + 1)[inside], first)
+    ends = starts_of(np.array([len(t) + 1 for t in texts], np.int64))
+    return mixed(h + (last - first).astype(np.uint64)), np.searchsorted(first, ends)
