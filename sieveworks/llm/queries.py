@@ -7,12 +7,14 @@ from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op9_exact_dedup
 from .language_id import op5_language_id
+from .line_dedup import op1_line_dedup
 from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_raked_mixing
 from .mixing import oracle as mixing_sql
 from .sharding import op3_feistel_sharding
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_raked_mixing": op4_raked_mixing,
