@@ -11,6 +11,7 @@ from .line_dedup import op1_line_dedup
 from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_raked_mixing
 from .mixing import oracle as mixing_sql
+from .ppm import op7_ppm
 from .sharding import op3_feistel_sharding
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_raked_mixing": op4_raked_mixing,
     "op5_language_id": op5_language_id,
+    "op7_ppm": op7_ppm,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
