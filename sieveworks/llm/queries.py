@@ -11,6 +11,7 @@ from .line_dedup import op1_line_dedup
 from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_raked_mixing
 from .mixing import oracle as mixing_sql
+from .pii import op6_pii_pseudonyms
 from .ppm import op7_ppm
 from .sharding import op3_feistel_sharding
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_raked_mixing": op4_raked_mixing,
     "op5_language_id": op5_language_id,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_ppm": op7_ppm,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
