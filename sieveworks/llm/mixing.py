@@ -2,8 +2,10 @@
 
 The tokens of every (source, language, topic) cell are counted; raking then scales a weight per cell
 until the weighted tokens meet the target share of every source, language and topic in turn.  A
-document is taken with probability weight / largest weight, so that the expected tokens of the
-sample have the raked proportions; the draw is a hash of the identifier, so it is reproducible.
+document is taken with probability min(1, s * weight), where s is calibrated exactly so that the
+expected tokens of the sample are a given share of all; the draw is a hash of the identifier, so it
+is reproducible.  Cells at probability 1 fall short of their target, the others keep the raked
+proportions; a share of 1 / (largest weight) or less caps no cell.
 The targets of a marginal are its present shares raised to a power below one, which lifts rare
 sources, languages and topics; a target table can be given instead.
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ROUNDS, POWER, SEED = 12, 0.7, "mix-1"
+ROUNDS, POWER, KEEP, SEED = 12, 0.7, 0.8, "mix-1"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Topics by what a text contains, the first that fits.
 TOPICS = (("licence", "%icense%"), ("credentials", "%token = %"), ("contact", "%@%"))
@@ -66,19 +68,34 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return out.select(*AXES, "tokens", weight.alias("weight"))
 
 
+def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
+    """cells (tokens, weight) with probability min(1, s * weight) for expected tokens of keep times all.
+
+    In the order of falling weight, cells are capped until the s that the rest needs caps no more.
+    One row per cell is sorted here, never a row per document.
+    """
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("weight").desc(), *AXES)
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("tokens") * F.col("weight")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    out = cells.withColumn("__s", F.when(rest > 0, (keep * total - before) / rest)).withColumn("__rank", F.row_number().over(order))
+    first = F.min_by("__s", F.when(F.col("__s") * F.col("weight") <= 1, F.col("__rank"))).over(Window.partitionBy(F.lit(1)))
+    return out.withColumn("probability", F.least(F.lit(1.0), F.coalesce(first, F.lit(1.0)) * F.col("weight"))).drop("__s", "__rank")
+
+
 def uniform(identifier: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) for each identifier, alike in every run; null has its own."""
     text = F.concat(F.coalesce(identifier.cast("string"), F.lit("null")), F.lit(f"/{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER, keep: float = KEEP, seed: str = SEED) -> DataFrame:
     """docs with topic, n_tokens, mix_weight, probability and drawn."""
     docs = docs.drop(*ADDED)
     marked = docs.withColumns({"topic": F.coalesce(topic_of(F.col(text_col)), F.lit("prose")), "n_tokens": tokens_of(F.col(text_col))})
     cells, _ = stored(marked.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = rake(cells, targets or {axis: targets_of(cells, axis, power) for axis in AXES}, rounds)
-    fitted, _ = stored(fitted.withColumn("probability", F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(1)))), "weights")
+    fitted, _ = stored(calibrated(fitted, keep), "weights")
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     weights = fitted.select(key(F.col("source")).alias("__s"), key(F.col("lang")).alias("__l"), F.col("topic").alias("__t"), F.col("weight").alias("mix_weight"), "probability")
     # Catalyst broadcasts the cells while they are under its size limit, and shuffles beyond it
@@ -93,7 +110,7 @@ def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "lang", "topic", F.col("n_tokens").cast("long").alias("n_tokens"), F.round("mix_weight", 6).alias("mix_weight"), F.round("probability", 6).alias("probability"), "drawn")
 
 
-def oracle(rounds: int = ROUNDS, power: float = POWER, seed: str = SEED) -> str:
+def oracle(rounds: int = ROUNDS, power: float = POWER, keep: float = KEEP, seed: str = SEED) -> str:
     """The same as SQL for DuckDB."""
     topics = " ".join(f"WHEN text LIKE '{p}' THEN '{n}'" for n, p in TOPICS)
     parts = [
@@ -112,8 +129,12 @@ def oracle(rounds: int = ROUNDS, power: float = POWER, seed: str = SEED) -> str:
             held = f"sum(mass) OVER (PARTITION BY {axis})"
             parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {held} > 0 THEN mass * g_{axis} / {held} ELSE 0 END AS mass) FROM r{step})")
             step += 1
-    parts.append(f"w AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN mass / sum(mass) OVER () / (tokens / sum(tokens) OVER ()) ELSE 1.0 END AS weight FROM r{step})")
-    parts.append("p AS (SELECT *, weight / max(weight) OVER () AS probability FROM w)")
+    parts.append(f"w AS (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN mass / sum(mass) OVER () / (tokens / sum(tokens) OVER ()) ELSE 1.0 END AS weight FROM r{step})")
+    parts.append(f"""s AS (SELECT *, row_number() OVER o AS rank,
+        ({keep} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / nullif(sum(tokens * weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS s
+        FROM w WINDOW o AS (ORDER BY weight DESC, source, lang, topic))""")
+    parts.append("p AS (SELECT *, least(1.0, coalesce((SELECT s FROM s WHERE s * weight <= 1 ORDER BY rank LIMIT 1), 1.0) * weight) AS probability FROM s)")
     draw = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/{seed}'), 1, 8))::BIGINT / 4294967296.0"
     return f"""WITH {", ".join(parts)}
     SELECT m.doc_id, m.source, m.lang, m.topic, m.n_tokens::BIGINT AS n_tokens, round(weight, 6) AS mix_weight, round(probability, 6) AS probability,
