@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from ..operators.components import components
+from ..storage import fresh_path, remove, shared_dir, stored
+
+__all__ = ["components", "fresh_path", "maybe_in", "remove", "shared_dir", "stored"]
 
 #: Bits of the membership bitmap: 2**26 bits are 8 MB, whatever the number of keys.
 BITMAP_BITS = 26
 _PAGE_BITS = 15  # one row of bitmap_construct_agg covers 32,768 positions
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="sieveworks-"))
-    return _own_dir[0]
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/sieveworks-{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def maybe_in(df: DataFrame, key: str, keys: DataFrame, key_of: str) -> DataFrame:
     """Rows of df whose 64-bit key is in keys, and perhaps others.
 
@@ -65,43 +37,3 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, key_of: str) -> DataFrame
         .where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
         .drop("__page", "__at", "__bits")
     )
-
-
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of the links (a, b); component is the smallest id reachable.
-
-    Alternating large-star and small-star: every step is a distributed group-by, hot nodes are
-    combined before the shuffle, links and labels never reach the driver.  The least neighbours are
-    written before they are joined, so that a node with very many links is an ordinary skewed join,
-    which Spark splits.  Tables written each round cut the lineage; the last round's go when it is over.
-    """
-    spark = edges.sparkSession
-    paths: list[str] = []
-
-    def table(df: DataFrame) -> DataFrame:
-        out, path = stored(df, "links")
-        paths.append(path)
-        return out
-
-    links = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        old = paths[:-1]
-        del paths[:-1]
-        for path in old:
-            remove(spark, path)
-        # large-star: neighbours above a node move to the least of its neighbourhood
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        # small-star: neighbours below a node, and itself, move to the least of them
-        low = table(large.groupBy("a").agg(F.min("b").alias("m")))
-        moved = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
-        links = table(large.join(low, "a").select(moved.alias("x")).select("x.a", "x.b").where("a <> b").distinct())
-        # settled when every node has one link, and to a node that has none
-        n = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("d")).first()
-        if n["n"] == n["d"] and links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi").isEmpty():
-            break
-    roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
