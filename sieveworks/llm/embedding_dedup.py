@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, stored
+from .linking import least_labels
 
 #: Rows of a tile that travels; rows of a block that is compared at once; axes after which a block may stop.
 TILE_ROWS, BLOCK_ROWS, STOPS = 4096, 512, (4, 8, 16, 32)
@@ -75,20 +76,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that the links (i, j) reach."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _box(axes_of: dict[int, np.ndarray], v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     p = v / np.linalg.norm(v, axis=1, keepdims=True) @ axes_of[v.shape[1]]
     lead = p[:, :BOX_AXES]

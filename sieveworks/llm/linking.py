@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +53,68 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             found, _ = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
         left, _ = stored(live.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "left")
         pivots_each = min(MOST_PIVOTS, 4 * pivots_each)
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the links (i, j) reach."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512) -> DataFrame:
+    """As link_buckets(), but larger buckets are compared inside tasks, so pairs that fail are never rows.
+
+    Ids that larger buckets connect make a block, cut into tiles.  In each round some members of a
+    block, the pivots, travel to all its tiles; a task compares them with the tile and returns a
+    spanning forest of the links.  Pivots then leave.  payload(ids) gives (id, data binary) for the
+    ids asked for; close(pivots' data, members' data) gives the places, in the two lists joined, of linked pairs.
+    """
+    stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1"), "buckets")
+    shared, _ = stored(members.join(stats, "key"), "members")
+    few = shared.where(F.col("n") <= small)
+    every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    links, _ = stored(verify(every.distinct()), "verified")
+    left = shared.where(F.col("n") > small).select("key", "id")
+    if left.isEmpty():
+        return components(links)
+    found, _ = stored(components(links), "components")
+    blocks, _ = stored(components(shared.where((F.col("n") > small) & (F.col("id") != F.col("lo"))).select(F.col("lo").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "block"), "blocks")
+    tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    body, _ = stored(payload(blocks.select("id")).join(blocks, "id").join(tiles, "block"), "bodies")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        chosen, rest = (table.filter(x) for x in (table.column("pivot"), pa.compute.invert(table.column("pivot"))))
+        i, j = close(chosen.column("data").to_pylist(), rest.column("data").to_pylist())
+        ids = np.concatenate([x.column("id").to_numpy() for x in (chosen, rest)])
+        label = ids[least_labels(len(ids), i, j)] if len(i) else ids
+        at = np.flatnonzero(label != ids)
+        return pa.table({"a": pa.array(ids[at]), "b": pa.array(label[at])})
+
+    turn = 0
+    while True:
+        live, _ = stored(left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "live")
+        tally = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        open_keys, _ = stored(tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1").select("key", "major"), "open")
+        if open_keys.isEmpty():
+            return found
+        turn += 1
+        active, _ = stored(live.join(open_keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")), "active")
+        # the first pivots meet members that nothing connects yet, so a few are enough
+        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots if turn > 1 else max(1, pivots // 8)))
+        own = active.where("minor").join(blocks, "id").groupBy("block", slot.alias("slot")).agg(F.min("id").alias("id")).select("id")
+        own, _ = stored(own, "pivots")
+        here = body.join(active.select("id"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
+        sent = body.join(own, "id").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
+        new, _ = stored(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
+        if not new.isEmpty():
+            found, _ = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
+        left = live.select("key", "id").join(own, "id", "left_anti")

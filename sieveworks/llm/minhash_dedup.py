@@ -8,7 +8,7 @@ deviations to spare, are dropped; the others are decided on their full sets.  Wi
 pair at similarity 0.8 misses all bands with probability 5e-8.
 
 Documents with equal sets form one class before anything is compared; components of classes come
-from link_buckets(), which emits no group's pairs.
+from link_blocks(), which emits no group's pairs.
 
 A null or empty text, or one without words, has an empty set and links with nothing.  A text of
 fewer words than a shingle has one shingle, the whole.  Rows with a null identifier link with
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .batches import mixed, slices, texts_of, word_hashes
 from .common import maybe_in, stored
-from .linking import link_buckets
+from .linking import link_blocks
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 _rng = np.random.default_rng(4)
@@ -139,20 +139,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                 keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of the ids, once each; the bitmap may let other documents through, the joins do not."""
+        chosen = maybe_in(docs.where("doc_id is not null").withColumn("k", F.xxhash64("doc_id")), "k", ids.select(F.xxhash64("id").alias("k")), "k").select("doc_id", "text")
+        return stored(full_sets(chosen, width).groupBy(F.col("doc_id").alias("id")).agg(F.min("hashes").alias("data")), "sets")[0]
+
+    def close(pivots: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Linked places of pivots among each other and with the others."""
+        sets = [np.frombuffer(x, np.uint64) for x in [*pivots, *others]]
+        size = np.array([len(x) for x in sets], np.int64)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(len(pivots)):
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            both = np.bincount(owner[sets[i][at] == every], minlength=len(sets))
+            j = np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+            found.append((np.full(len(j), i), j))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         near = near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (bits <= most_differing_bits(percent / 100))).select("a", "b")
         near, _ = stored(near, "candidates")
-        # full sets of the candidates alone; the bitmap may let others through, the joins do not
         ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        chosen = maybe_in(docs.where("doc_id is not null").withColumn("k", F.xxhash64("doc_id")), "k", ends.select(F.xxhash64("id").alias("k")), "k").select("doc_id", "text")
-        sets, _ = stored(full_sets(chosen, width).groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
-        of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("hashes").alias(f"hashes_{s}"))
+        sets = sets_of(ends)
+        of = lambda s: sets.select(F.col("id").alias(s), F.col("data").alias(f"hashes_{s}"))
         return near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(overlap, "a bigint, b bigint")
 
-    reached = link_buckets(members, verify)
+    reached = link_blocks(members, verify, sets_of, close)
     labels, _ = stored(classes.select("d1", "d2", "n", "id").join(reached, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id")), "labels")
     linked = signed.where("n > 0 and doc_id is not null").join(labels, ["d1", "d2", "n"]).select("doc_id", "n", "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
