@@ -51,7 +51,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, hash: a hash per vector, and for every fifth a copy with two bits flipped."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", values.median_bits(F.transform("embedding", lambda x: x.cast("double"))).alias("hash"))
     name = lambda p: F.concat(F.lit(p), F.lpad(F.col("vec_id").cast("string"), 9, "0"))
-    flip = F.shiftleft(F.lit(1).cast("bigint"), (F.col("vec_id") % 31).cast("int")).bitwiseOR(F.shiftleft(F.lit(1).cast("bigint"), (F.col("vec_id") % 29 + 32).cast("int")))
+    flip = F.expr("shiftleft(1L, cast(vec_id % 31 as int)) | shiftleft(1L, cast(vec_id % 29 + 32 as int))")
     return e.select("vec_id", name("/img/a").alias("path"), "hash").union(e.where("vec_id % 5 = 0").select("vec_id", name("/img/b"), F.col("hash").bitwiseXOR(flip)))
 
 

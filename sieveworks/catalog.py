@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import exact
+from .operators import exact, folders, similar
 
-_MODULES = (exact,)
+_MODULES = (exact, folders, similar)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
