@@ -304,16 +304,33 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys, n = low_counts([w for w, c in zip(words, counts.tolist(), strict=True) if c]) if counts.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         events = np.concatenate(range_events(words, counts)).astype(np.int64)
         some = np.flatnonzero(events)
-        return pa.table(
-            {
-                "prefix": pa.array([*(e[0] for e in edge), *[None] * (len(keys) + len(some))], pa.binary()),
-                "symbol": pa.array([*(e[1] for e in edge), *keys.tolist(), *(-1 - some).tolist()], pa.int64()),
-                "n": pa.array([*(e[2] for e in edge), *n.tolist(), *events[some].tolist()], pa.int64()),
-            }
-        )
-
-    # at most 2 * MAX_DEPTH * 257 rows a range, 257**3 for the low orders and two for each class of nodes
-    gathered = ranged.groupBy("part").applyInArrow(gather, "prefix binary, symbol bigint, n bigint").groupBy("prefix", "symbol").agg(F.sum("n").alias("n")).collect()
+        rows = Counter({(e[0], e[1]): e[2] for e in edge})
+        rows.update({(None, k): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)})
+        rows.update({(None, -1 - k): c for k, c in zip(some.tolist(), events[some].tolist(), strict=True)})
+        return packed(table.column("part")[0].as_py() % merges, rows)
+
+    def packed(merge: int, rows: Counter) -> pa.Table:
+        """One row: summing ranges must not make a row for every number of every range."""
+        prefix, symbol = [k[0] for k in rows], [k[1] for k in rows]
+        types = (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table([pa.array([x], t) for x, t in zip((merge, prefix, symbol, list(rows.values())), types, strict=True)], ["merge", "prefix", "symbol", "n"])
+
+    def unpacked(rows: list[tuple[list, list, list]]) -> Counter:
+        out: Counter = Counter()
+        for prefix, symbol, n in rows:
+            for k, c in zip(zip(prefix, symbol, strict=True), n, strict=True):
+                out[k] += c
+        return out
+
+    def merged(table: pa.Table) -> pa.Table:
+        return packed(table.column("merge")[0].as_py(), unpacked(list(zip(*(table.column(c).to_pylist() for c in ("prefix", "symbol", "n")), strict=True))))
+
+    # a range has at most 2 * MAX_DEPTH * 257 counts, 257**3 of the low orders and two per class of
+    # nodes; as many rows as the square root of the number of ranges come to the driver
+    merges = max(1, int(ranges**0.5))
+    kind = "merge int, prefix array<binary>, symbol array<bigint>, n array<bigint>"
+    sums = ranged.groupBy("part").applyInArrow(gather, kind).groupBy("merge").applyInArrow(merged, kind).collect()
+    gathered = [{"prefix": k[0], "symbol": k[1], "n": c} for k, c in unpacked([([None if x is None else bytes(x) for x in r["prefix"]], r["symbol"], r["n"]) for r in sums]).items()]
     boundary: dict[bytes, dict[int, int]] = {}
     for r in gathered:
         if r["prefix"] is not None:
