@@ -1,12 +1,12 @@
 """Connecting the members of hash buckets without emitting all pairs of a bucket.
 
-The links of a bucket are the pairs in it that verify() accepts.  Components need fewer comparisons
-than there are pairs: once two members are connected, their pair cannot change the result.  Buckets
-of a few members are compared in full.  In a larger one the least member is compared with all
-others first; then, in rounds, members outside the bucket's largest component are, a few at a time,
-compared with every member of another component, after which they leave the bucket.  A bucket is
-done when its members are in one component.  Every pair of a bucket is thus either compared or
-already connected, so no component differs from that of comparing all pairs.
+The links of a bucket are the pairs in it that verification accepts.  Components need fewer
+comparisons than there are pairs: once two members are connected, their pair cannot change the
+result.  Buckets of a few members are compared in full.  In larger ones, in rounds, some members
+outside the bucket's largest component, the pivots, are compared with all members of another
+component, after which they leave the bucket.  A bucket is done when its members are in one
+component.  Every pair of a bucket is thus either compared or already connected, so no component
+differs from that of comparing all pairs.
 """
 
 from __future__ import annotations
@@ -16,43 +16,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
 
-SMALL, MOST_PIVOTS = 8, 64
-
-
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL) -> DataFrame:
-    """(id, component) of all ids that have a link; members has distinct (key, id), verify takes and returns (a, b)."""
-    stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1"), "buckets")
-    shared, _ = stored(members.join(stats, "key"), "members")
-    few = shared.where(F.col("n") <= small)
-    every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    star = shared.where((F.col("n") > small) & (F.col("id") != F.col("lo"))).select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    links, _ = stored(verify(every.union(star).distinct()), "verified")
-    found, _ = stored(components(links), "components")
-    left = shared.where((F.col("n") > small) & (F.col("id") != F.col("lo"))).select("key", "id")
-    pivots_each, turn = 2, 0
-    while True:
-        live = left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        tally = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_keys, _ = stored(tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1").select("key", "major"), "open")
-        if open_keys.isEmpty():
-            return found
-        live, _ = stored(live.join(open_keys, "key"), "live")
-        turn += 1
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots_each))
-        chosen = live.where("comp <> major").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "comp")).alias("p"))
-        pivots, _ = stored(chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.comp").alias("own")), "pivots")
-        met = live.join(pivots, "key").where("comp <> own")
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new, _ = stored(verify(pairs), "verified")
-        if not new.isEmpty():
-            found, _ = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
-        left, _ = stored(live.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "left")
-        pivots_each = min(MOST_PIVOTS, 4 * pivots_each)
+SMALL = 8
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -69,8 +38,12 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512) -> DataFrame:
-    """As link_buckets(), but larger buckets are compared inside tasks, so pairs that fail are never rows.
+def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None) -> DataFrame:
+    """(id, component) of all ids that have a link.
+
+    members has distinct (key, id); verify takes and returns pairs (a, b).  With a column sim and a
+    condition near on sim and sim_b, pairs of small buckets are held against it while they are joined.
+    Larger buckets are compared inside tasks, so pairs that fail are never rows.
 
     Ids that larger buckets connect make a block, cut into tiles.  In each round some members of a
     block, the pivots, travel to all its tiles; a task compares them with the tile and returns a
@@ -80,8 +53,11 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1"), "buckets")
     shared, _ = stored(members.join(stats, "key"), "members")
     few = shared.where(F.col("n") <= small)
-    every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    links, _ = stored(verify(every.distinct()), "verified")
+    extra = [c for c in ("sim",) if c in members.columns]
+    a, b = (few.select("key", F.col("id").alias(s), *[F.col(c).alias(c + t) for c in extra]) for s, t in (("a", ""), ("b", "_b")))
+    every = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (near if near is not None else F.lit(True))).select("a", "b")
+    pairs, _ = stored(every.distinct(), "pairs")
+    links, _ = stored(verify(pairs), "verified")
     left = shared.where(F.col("n") > small).select("key", "id")
     if left.isEmpty():
         return components(links)
