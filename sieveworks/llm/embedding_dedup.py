@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored
-from .linking import least_labels
+from ..operators.components import components, least_labels
+from .common import stored
 
 #: Rows of a tile that travels; rows of a block that is compared at once; axes after which a block may stop.
 TILE_ROWS, BLOCK_ROWS, STOPS = 4096, 512, (4, 8, 16, 32)

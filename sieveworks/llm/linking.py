@@ -19,23 +19,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from ..operators.components import components, least_labels
+from .common import stored
 
-SMALL = 8
-
-
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that the links (i, j) reach."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+SMALL, ROWS_A_TASK = 8, 100_000
 
 
 def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None) -> DataFrame:
@@ -52,6 +39,7 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     """
     stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1"), "buckets")
     shared, _ = stored(members.join(stats, "key"), "members")
+    parts = shared.count() // ROWS_A_TASK + 8  # of tables of a row per member of a bucket
     few = shared.where(F.col("n") <= small)
     extra = [c for c in ("sim",) if c in members.columns]
     a, b = (few.select("key", F.col("id").alias(s), *[F.col(c).alias(c + t) for c in extra]) for s, t in (("a", ""), ("b", "_b")))
@@ -77,17 +65,17 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
 
     turn = 0
     while True:
-        live, _ = stored(left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "live")
+        live, _ = stored(left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")).coalesce(parts), "live")
         tally = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_keys, _ = stored(tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1").select("key", "major"), "open")
+        open_keys, _ = stored(tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1").select("key", "major").coalesce(parts), "open")
         if open_keys.isEmpty():
             return found
         turn += 1
-        active, _ = stored(live.join(open_keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")), "active")
+        active, _ = stored(live.join(open_keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
         # the first pivots meet members that nothing connects yet, so a few are enough
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots if turn > 1 else max(1, pivots // 8)))
         own = active.where("minor").join(blocks, "id").groupBy("block", slot.alias("slot")).agg(F.min("id").alias("id")).select("id")
-        own, _ = stored(own, "pivots")
+        own, _ = stored(own.coalesce(parts), "pivots")
         here = body.join(active.select("id"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
         sent = body.join(own, "id").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
         new, _ = stored(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
