@@ -79,7 +79,7 @@ def line_brute_force(rows):
     """rows: (doc_id, text) in order; the texts that are left."""
     occurrences = [(k, i, n) for k, (_, t) in enumerate(rows) for i, n in enumerate(line_dedup.normalised_lines(t or "")) if len(n.split()) >= line_dedup.MIN_WORDS]
     nodes = list(dict.fromkeys(n for _, _, n in occurrences))
-    sim = line_dedup.line_hashes(nodes)[3] if nodes else []
+    sim = line_dedup.line_hashes([n.encode() for n in nodes])[3] if nodes else []
     parent = {n: n for n in nodes}
 
     def root(x):
