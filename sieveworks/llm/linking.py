@@ -25,14 +25,16 @@ from .common import stored
 SMALL, ROWS_A_TASK = 8, 100_000
 
 
-def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None) -> DataFrame:
+def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None, by_bucket: bool = False) -> DataFrame:
     """(id, component) of all ids that have a link.
 
     members has distinct (key, id); verify takes and returns pairs (a, b).  With a column sim and a
     condition near on sim and sim_b, pairs of small buckets are held against it while they are joined.
     Larger buckets are compared inside tasks, so pairs that fail are never rows.
 
-    Ids that larger buckets connect make a block, cut into tiles.  In each round some members of a
+    Ids that larger buckets connect make a block, or with by_bucket each larger bucket is one: then a
+    member travels to each of its buckets, and unrelated members of many buckets make no large block.
+    Blocks are cut into tiles.  In each round some members of a
     block, the pivots, travel to all its tiles; a task compares them with the tile and returns a
     spanning forest of the links.  Pivots then leave.  payload(ids) gives (id, data binary) for the
     ids asked for; close(pivots' data, members' data) gives the places, in the two lists joined, of linked pairs.
@@ -50,9 +52,16 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     if left.isEmpty():
         return components(links)
     found, _ = stored(components(links), "components")
-    blocks, _ = stored(components(shared.where((F.col("n") > small) & (F.col("id") != F.col("lo"))).select(F.col("lo").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "block"), "blocks")
+    large = shared.where(F.col("n") > small)
+    if by_bucket:
+        blocks = large.select("id", F.col("key").alias("block"))
+        at, of = ["block", "id"], ["key", "id"]
+    else:
+        blocks = components(large.where(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "block")
+        at, of = ["id"], ["id"]
+    blocks, _ = stored(blocks, "blocks")
     tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    body, _ = stored(payload(blocks.select("id")).join(blocks, "id").join(tiles, "block"), "bodies")
+    body, _ = stored(payload(blocks.select("id").distinct()).join(blocks, "id").join(tiles, "block"), "bodies")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -71,14 +80,16 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
         if open_keys.isEmpty():
             return found
         turn += 1
-        active, _ = stored(live.join(open_keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
+        own_block = [F.col("key").alias("block")] * by_bucket
+        active, _ = stored(live.join(open_keys, "key").groupBy(*own_block, "id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
         # the first pivots meet members that nothing connects yet, so a few are enough
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots if turn > 1 else max(1, pivots // 8)))
-        own = active.where("minor").join(blocks, "id").groupBy("block", slot.alias("slot")).agg(F.min("id").alias("id")).select("id")
+        minor = active.where("minor")
+        own = (minor if by_bucket else minor.join(blocks, "id")).groupBy("block", slot.alias("slot")).agg(F.min("id").alias("id")).select(*at)
         own, _ = stored(own.coalesce(parts), "pivots")
-        here = body.join(active.select("id"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
-        sent = body.join(own, "id").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
+        here = body.join(active.select(*at), at).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
+        sent = body.join(own, at).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
         new, _ = stored(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
         if not new.isEmpty():
             found, _ = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
-        left = live.select("key", "id").join(own, "id", "left_anti")
+        left = live.select("key", "id").join(own.toDF(*of), of, "left_anti")
