@@ -241,8 +241,15 @@ def _before(at: np.ndarray) -> np.ndarray:
 def adaptive_log10(word: np.ndarray, head: np.ndarray, head_code: np.ndarray, code: np.ndarray) -> float:
     """log10 probability of a document: numbers of its words and of their first symbols, with the trie's code lengths."""
     seen = np.arange(len(word))
-    start = (_before(head) + HEAD_ADAPT * 10.0**head_code) / (seen + HEAD_ADAPT)
-    return float(np.log10((_before(word) + WORD_ADAPT * start * 10.0 ** (code - head_code)) / (seen + WORD_ADAPT)).sum())
+    start = _blended(_before(head), seen, head_code, HEAD_ADAPT)
+    return float(_blended(_before(word), seen, start + code - head_code, WORD_ADAPT).sum())
+
+
+def _blended(count: np.ndarray, seen: np.ndarray, below: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of (count + weight * 10**below) / (seen + weight); very long words would underflow outside logarithms."""
+    ten = np.log(10)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count), np.log(weight) + ten * below) / ten - np.log10(seen + weight)
 
 
 def head_of(word: bytes) -> bytes:
