@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             found.append((np.full(len(j), i), j))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, large: DataFrame) -> DataFrame:
         side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(side("a"), "a").join(side("b"), "b")
