@@ -131,6 +131,22 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
         assert got == line_brute_force(rows)
 
 
+def test_line_dedup_finds_small_edits(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, rng.integers(3, 9)))
+    lines = []
+    for n in [6, 8, 12, 20, 40, 80] * 10:
+        words = [word() for _ in range(n)]
+        at = int(rng.integers(n))
+        changed = [*words[:at], words[at][:-1] + rng.choice(letters), *words[at + 1 :]] if n < 20 else [*words[:at], word()[: len(words[at])], *words[at + 1 :]]
+        lines.append((" ".join(words), " ".join(changed)))
+    assert all(line_dedup.edit_alike(x, y) for x, y in lines)
+    rows = [(i, x) for i, x in enumerate([*(x for x, _ in lines), *(y for _, y in lines)])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [*(x for x, _ in lines), *([""] * len(lines))]
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
