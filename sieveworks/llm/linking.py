@@ -28,8 +28,8 @@ SMALL, ROWS_A_TASK = 8, 100_000
 def link_blocks(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None, by_bucket: bool = False) -> DataFrame:
     """(id, component) of all ids that have a link.
 
-    members has distinct (key, id); verify takes and returns pairs (a, b), and is told the ids whose payload is asked for later.  With a column sim and a
-    condition near on sim and sim_b, pairs of small buckets are held against it while they are joined.
+    members has distinct (key, id); verify takes and returns pairs (a, b), and is told the ids whose payload is asked for later.  With columns sim or chars and a
+    condition near on these and on sim_b, chars_b, pairs of small buckets are held against it while they are joined.
     Larger buckets are compared inside tasks, so pairs that fail are never rows.
 
     Ids that larger buckets connect make a block, or with by_bucket each larger bucket is one: then a
@@ -39,12 +39,13 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     spanning forest of the links.  Pivots then leave.  payload(ids) gives (id, data binary) for the
     ids asked for; close(pivots' data, members' data) gives the places, in the two lists joined, of linked pairs.
     """
-    stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1"), "buckets")
+    least = [] if by_bucket else [F.min("id").alias("lo")]
+    stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1"), "buckets")
     hashed = members.withColumn("__hash", F.xxhash64("key"))
     shared, _ = stored(maybe_in(hashed, "__hash", stats.select(F.xxhash64("key").alias("h")), "h").drop("__hash").join(stats, "key"), "members")
     parts = shared.count() // ROWS_A_TASK + 8  # of tables of a row per member of a bucket
     few = shared.where(F.col("n") <= small)
-    extra = [c for c in ("sim",) if c in members.columns]
+    extra = [c for c in ("sim", "chars") if c in members.columns]
     a, b = (few.select("key", F.col("id").alias(s), *[F.col(c).alias(c + t) for c in extra]) for s, t in (("a", ""), ("b", "_b")))
     every = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (near if near is not None else F.lit(True))).select("a", "b")
     pairs, _ = stored(every.distinct(), "pairs")

@@ -147,6 +147,12 @@ def test_line_dedup_finds_small_edits(spark):
     assert [r.text for r in out] == [*(x for x, _ in lines), *([""] * len(lines))]
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(1, "Ja.\n漢字仮名交じり文です\n\n---\nfirst"), (2, "ja\n漢字仮名交じり文です\n\n---\nsecond"), (3, "no\n今日は天気がいいから散歩しましょう"), (4, "今日は天気がいいから散步しましょう\nJA!")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [rows[0][1], "\n---\nsecond", rows[2][1], ""]
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
