@@ -5,7 +5,9 @@ until the weighted tokens meet the target share of every source, language and to
 document is taken with probability min(1, s * weight), where s is calibrated exactly so that the
 expected tokens of the sample are a given share of all; the draw is a hash of the identifier, so it
 is reproducible.  Cells at probability 1 fall short of their target, the others keep the raked
-proportions; a share of 1 / (largest weight) or less caps no cell.
+proportions; a share of 1 / (largest weight) or less caps no cell.  The targets are met by repeating
+documents: copies is share * weight rounded up or down by the same draw, so its expected tokens have
+the raked shares whatever the weights.
 The targets of a marginal are its present shares raised to a power below one, which lifts rare
 sources, languages and topics; a target table can be given instead.
 
@@ -30,7 +32,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Topics by what a text contains, the first that fits.
 TOPICS = (("licence", "%icense%"), ("credentials", "%token = %"), ("contact", "%@%"))
 AXES = ("source", "lang", "topic")
-ADDED = ("topic", "n_tokens", "mix_weight", "probability", "drawn")
+ADDED = ("topic", "n_tokens", "mix_weight", "probability", "drawn", "copies")
 
 
 def topic_of(text: Column) -> Column:
@@ -90,7 +92,7 @@ def uniform(identifier: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """docs with topic, n_tokens, mix_weight, probability and drawn."""
+    """docs with topic, n_tokens, mix_weight, probability, drawn and copies."""
     docs = docs.drop(*ADDED)
     marked = docs.withColumns({"topic": F.coalesce(topic_of(F.col(text_col)), F.lit("prose")), "n_tokens": tokens_of(F.col(text_col))})
     cells, _ = stored(marked.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
@@ -101,7 +103,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Catalyst broadcasts the cells while they are under its size limit, and shuffles beyond it
     keyed = marked.withColumns({"__s": key(F.col(source_col).cast("string")), "__l": key(F.col(lang_col).cast("string")), "__t": F.col("topic")})
     joined = keyed.join(weights, ["__s", "__l", "__t"])
-    return joined.withColumn("drawn", uniform(F.col(id_col), seed) < F.col("probability")).select(*docs.columns, *ADDED)
+    u, often = uniform(F.col(id_col), seed), F.col("mix_weight") * keep
+    copies = (F.floor(often) + (u < often - F.floor(often)).cast("int")).cast("int")
+    return joined.withColumns({"drawn": u < F.col("probability"), "copies": copies}).select(*docs.columns, *ADDED)
 
 
 def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,6 +268,22 @@ def test_mixing_meets_targets(docs):
     assert out.agg(F.max(F.abs(F.col("mix_weight") - 1))).first()[0] < 1e-6  # present shares are met by present weights
 
 
+def test_mixing_copies_meet_targets(spark):
+    rng = np.random.default_rng(3)
+    kinds = [("s%d" % s, lang, text) for s in range(3) for lang in ("en", "fr") for text in ("some words of prose", "under the license of", "write to a@b.example")]
+    p = np.array([(s + 1) ** 3 * (5 if lang == "en" else 1) * t for s in range(3) for lang in ("en", "fr") for t in (20, 2, 1)], float)
+    rows = [(i, *kinds[k]) for i, k in enumerate(rng.choice(len(kinds), 20000, p=p / p.sum()))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")).persist()
+    assert out.where("probability = 1").count() > 0  # drawing alone cannot meet these targets
+    total = out.agg(F.sum(F.col("n_tokens") * F.col("copies")) / F.sum("n_tokens")).first()[0]
+    assert total == pytest.approx(mixing.KEEP, rel=0.02)
+    for axis in mixing.AXES:
+        found = out.groupBy(axis).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("copies")).alias("c")).collect()
+        power, copied = sum(r.t**mixing.POWER for r in found), sum(r.c for r in found)
+        for r in found:
+            assert r.c / copied == pytest.approx(r.t**mixing.POWER / power, abs=0.01)
+
+
 def test_mixing_odd(spark, odd, odd_path):
     out = mixing.mix(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
