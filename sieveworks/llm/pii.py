@@ -7,6 +7,9 @@ of that many numbers (cycle walking keeps it inside), and the result is written
 separators, case, length, country prefix and check digits stay right.  The permutation depends on
 the key and the kind alone, so equal values get equal pseudonyms in all documents, however they are
 punctuated, and the holder of the key can undo them.  Anything that does not validate stays.
+Dates are year, month, day with - or /, also before the time of an ISO timestamp, and day, month, year
+or month, day, year with -, / or full stops (there the day first).  Dates with the names of months, with
+years of two digits or without separators are not sought.
 
 A null text stays null, an empty one empty.  Repeated rows change alike.  An empty table gives no
 rows; other columns stay as they are.  Values inside longer runs of digits or letters are not values.
@@ -32,7 +35,7 @@ _ALPHABETS = {c: _LOWER for c in _LOWER} | {c: "0123456789" for c in "0123456789
 _NUMBERS = re.compile(
     r"""
       (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-    | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d))
+    | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:?\d{2})|(?!\w|[./-]\d))|(?:\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)))
     | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d))
     | (?P<phone>(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4} | \+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,3})(?!\w|[.-]\d)
         | (?<![\w(])\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w|-\d) | (?<![\w-])\d{3}-\d{3}-\d{4}(?!\w|-\d))
@@ -139,8 +142,9 @@ class Pseudonyms:
     def _date(self, value: str) -> str | None:
         sep = re.search(r"\D", value)[0]
         parts = value.split(sep)
-        y, m, d = (int(x) for x in (parts if sep == "-" else reversed(parts)))
-        if sep == "/" and m > 12 >= d:
+        y, m, d = (int(x) for x in (parts if len(parts[0]) == 4 else reversed(parts)))
+        either = sep != "." and len(parts[0]) < 4  # the month may stand first
+        if either and m > 12 >= d:
             m, d, swapped = d, m, True
         else:
             swapped = False
@@ -152,14 +156,14 @@ class Pseudonyms:
             return None
         # a form tells month from day or not; within it the written date must be read back alike
         while True:
-            at = self.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{int(sep == '/')}{int(swapped)}") + FIRST_DAY
+            at = self.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{int(either)}{int(swapped)}") + FIRST_DAY
             new = date.fromordinal(at)
             if not swapped or new.day > 12:
                 break
         day, month = (new.month, new.day) if swapped else (new.day, new.month)
         wide = all(len(x) == 2 for x in parts if len(x) < 4)
         form = "{:02d}" if wide else "{}"
-        return f"{new.year:04d}-{new.month:02d}-{new.day:02d}" if sep == "-" else sep.join([form.format(day), form.format(month), f"{new.year:04d}"])
+        return sep.join([f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]) if len(parts[0]) == 4 else sep.join([form.format(day), form.format(month), f"{new.year:04d}"])
 
     def _ssn(self, value: str) -> str | None:
         own = value.replace("-", "")

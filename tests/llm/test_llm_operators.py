@@ -348,6 +348,17 @@ def test_pseudonyms():
     assert pii.Pseudonyms(b"other").replace(text)[0] != new
 
 
+def test_pseudonyms_of_more_dates():
+    own, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", inverse=True)
+    for text in ("2024-02-29T10:00:00Z", "2024/02/29", "29-02-2024", "02-29-2024", "9-2-2024", "on 2024-02-29T10:00 and 2024/12/31."):
+        new, counts = own.replace(text)
+        assert counts["date"] == text.count("202") and "2024-02-29" not in new and new != text
+        assert back.replace(new)[0] == text
+    assert own.replace("2024/02/29")[0].replace("/", "-") == own.replace("2024-02-29")[0] == own.replace("2024-02-29T10:00:00Z")[0][:10]
+    for clean in ("2023/02/29", "30-02-2024", "2024-02-29T", "2024-02-29Tag", "1-2-3-2024", "2024/02/29/1"):
+        assert own.replace(clean)[0] == clean
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 1000])
 def test_pseudonyms_are_permutations(n):
     own, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", inverse=True)
