@@ -9,6 +9,7 @@ occurrences that are new to their node when met after all its others.  The order
 distinct words, as they predict what is new, and escape by method C.  Above the trie stand two
 adaptive contexts of the document itself, for the first bytes of a word and for the whole word:
 what came c times among i words is predicted (c + A p) / (i + A), where p is the context below.
+No context crosses a word, so the score does not depend on the order of words but by chance.
 
 The trie covers every training text, and no machine holds it.  Each block of documents asks for its
 distinct words; the vocabulary is sorted into ranges, and a range holds every node that is no
