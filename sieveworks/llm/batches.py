@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters that a vectorised step holds at a time, unless one text alone is longer.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 250_000
 
 
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -23,9 +23,17 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The values of a string column; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column as strings; null is empty."""
-    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+    return [x or "" for x in strings(batch.column(batch.schema.get_field_index(column)))]
 
 
 def codepoints(text: str) -> np.ndarray:

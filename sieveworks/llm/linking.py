@@ -2,11 +2,13 @@
 
 The links of a bucket are the pairs in it that verification accepts.  Components need fewer
 comparisons than there are pairs: once two members are connected, their pair cannot change the
-result.  Buckets of a few members are compared in full.  In larger ones, in rounds, some members
-outside the bucket's largest component, the pivots, are compared with all members of another
-component, after which they leave the bucket.  A bucket is done when its members are in one
-component.  Every pair of a bucket is thus either compared or already connected, so no component
-differs from that of comparing all pairs.
+result.  Every member of a bucket is first held against the bucket's least member, which is a row per
+member at most, whatever the size of the bucket.  A bucket whose members are then in one component is done.
+In the others, members of different components are compared: in buckets of a few members pair by
+pair; in larger ones in rounds, where some members outside the bucket's largest component, the pivots,
+are compared with all members of another component, after which they leave the bucket.  Every pair
+of a bucket is thus either compared or already connected, so no component differs from that of
+comparing all pairs.
 """
 
 from __future__ import annotations
@@ -20,78 +22,112 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components, least_labels
-from .common import maybe_in, stored
+from .common import maybe_in, remove, stored
 
 SMALL, ROWS_A_TASK = 8, 100_000
+#: Members of a tile, bytes of a tile's data, and pivots of a block in a round.
+TILE, TILE_BYTES, PIVOTS = 4096, 4_000_000, 512
 
 
-def link_blocks(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[list, list], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = 512, pivots: int = 512, near: Column | None = None, by_bucket: bool = False) -> DataFrame:
+def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], close: Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]], small: int = SMALL, tile: int = TILE, pivots: int = PIVOTS, near: Column | None = None) -> DataFrame:
     """(id, component) of all ids that have a link.
 
-    members has distinct (key, id); verify takes and returns pairs (a, b), and is told the ids whose payload is asked for later.  With columns sim or chars and a
-    condition near on these and on sim_b, chars_b, pairs of small buckets are held against it while they are joined.
-    Larger buckets are compared inside tasks, so pairs that fail are never rows.
+    members has distinct (key, id), and any columns that the condition near on pairs reads, as they are for
+    one member and with _b for the other; it is scanned twice.  verify takes and returns pairs (a, b).
 
-    Ids that larger buckets connect make a block, or with by_bucket each larger bucket is one: then a
-    member travels to each of its buckets, and unrelated members of many buckets make no large block.
-    Blocks are cut into tiles.  In each round some members of a
-    block, the pivots, travel to all its tiles; a task compares them with the tile and returns a
-    spanning forest of the links.  Pivots then leave.  payload(ids) gives (id, data binary) for the
-    ids asked for; close(pivots' data, members' data) gives the places, in the two lists joined, of linked pairs.
+    Ids that the larger open buckets connect make a block, which is cut into tiles of bounded bytes.  In
+    each round the pivots of a block travel to all its tiles; a task compares them with the tile and returns a
+    spanning forest of the links.  Pivots then leave.  payload(ids) gives (id, data, size) for the
+    ids asked for, size in bytes; close(pivots' data, members' data) gives places, in the two
+    lists joined, of linked pairs that connect all that are linked.
     """
-    least = [] if by_bucket else [F.min("id").alias("lo")]
-    stats, _ = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1"), "buckets")
+    spark = members.sparkSession
+    at: dict[int, str] = {}
+
+    def table(df: DataFrame, what: str) -> DataFrame:
+        out, path = stored(df, what)
+        at[id(out)] = path
+        tables.append(out)
+        return out
+
+    tables: list[DataFrame] = []
+    extra = [c for c in members.columns if c not in ("key", "id")]
+    condition = near if near is not None else F.lit(True)
+    stats = table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     hashed = members.withColumn("__hash", F.xxhash64("key"))
-    shared, _ = stored(maybe_in(hashed, "__hash", stats.select(F.xxhash64("key").alias("h")), "h").drop("__hash").join(stats, "key"), "members")
+    shared = table(maybe_in(hashed, "__hash", stats.select(F.xxhash64("key").alias("h")), "h").drop("__hash").join(stats, "key"), "members")
     parts = shared.count() // ROWS_A_TASK + 8  # of tables of a row per member of a bucket
-    few = shared.where(F.col("n") <= small)
-    extra = [c for c in ("sim", "chars") if c in members.columns]
-    a, b = (few.select("key", F.col("id").alias(s), *[F.col(c).alias(c + t) for c in extra]) for s, t in (("a", ""), ("b", "_b")))
-    every = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (near if near is not None else F.lit(True))).select("a", "b")
-    pairs, _ = stored(every.distinct(), "pairs")
-    large = shared.where(F.col("n") > small)
-    links, _ = stored(verify(pairs, large.select("id")), "verified")
-    left = large.select("key", "id")
-    if left.isEmpty():
-        return components(links)
-    found, _ = stored(components(links), "components")
-    if by_bucket:
-        blocks = large.select("id", F.col("key").alias("block"))
-        at, of = ["block", "id"], ["key", "id"]
-    else:
-        blocks = components(large.where(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "block")
-        at, of = ["id"], ["id"]
-    blocks, _ = stored(blocks, "blocks")
-    tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    body, _ = stored(payload(blocks.select("id").distinct()).join(blocks, "id").join(tiles, "block"), "bodies")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        chosen, rest = (table.filter(x) for x in (table.column("pivot"), pa.compute.invert(table.column("pivot"))))
-        i, j = close(chosen.column("data").to_pylist(), rest.column("data").to_pylist())
+    least = table(shared.groupBy("key").agg(F.min(F.struct("id", *extra)).alias("lo")).coalesce(parts), "least")
+    least = least.select("key", F.col("lo.id").alias("a"), *[F.col(f"lo.{c}").alias(c) for c in extra])
+    other = shared.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in extra])
+    stars = least.join(other, "key").where((F.col("a") != F.col("b")) & condition).select("a", "b").distinct()
+    links = table(verify(table(stars, "pairs")), "verified")
+    found = components(links)
+
+    def grown(new: DataFrame) -> DataFrame:
+        return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new))
+
+    def unfinished(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """left (key, id, ...) with the component of each, and the keys with two or more."""
+        live = table(left.join(found, "id", "left").select(*left.columns, F.coalesce("component", "id").alias("comp")).coalesce(parts), "live")
+        tally = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        kinds = tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("rest"))
+        return live, table(kinds.where("kinds > 1").select("key", "major", "rest").coalesce(parts), "open")
+
+    # the least member has been compared with all others
+    begin = shared.where("n > 2").join(least.select("key", "a"), "key").where("id <> a").drop("a", "n")
+    live, keys = unfinished(begin)
+    if keys.isEmpty():
+        return found
+    few = live.join(keys.where(F.col("rest") <= small).select("key"), "key")
+    one = few.select("key", F.col("id").alias("a"), F.col("comp"), *extra)
+    two = few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in extra])
+    pairs = table(one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & condition).select("a", "b").distinct(), "pairs")
+    found = grown(table(verify(pairs), "verified"))
+    left = table(live.join(keys.where(F.col("rest") > small).select("key"), "key").select("key", "id"), "left")
+    live, keys = unfinished(left)
+    if keys.isEmpty():
+        return found
+
+    left = table(live.join(keys.select("key"), "key").select("key", "id"), "left")
+    low = table(left.groupBy("key").agg(F.min("id").alias("b")), "least")
+    blocks = table(components(left.join(low, "key").where("id <> b").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "block"), "blocks")
+    body = table(payload(blocks.select("id")).join(blocks, "id"), "bodies")
+    bulk = F.sum("size")
+    cuts = body.groupBy("block").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(bulk / TILE_BYTES)).cast("int").alias("tiles"),
+        F.greatest(F.lit(1), F.least(F.lit(pivots), F.floor(F.count(F.lit(1)) * TILE_BYTES / bulk))).cast("int").alias("most"),
+    )
+    cuts = table(cuts.coalesce(parts), "tiles")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        chosen, rest = (rows.filter(x) for x in (rows.column("pivot"), pa.compute.invert(rows.column("pivot"))))
+        i, j = close(*(x.column("data").combine_chunks() for x in (chosen, rest)))
         ids = np.concatenate([x.column("id").to_numpy() for x in (chosen, rest)])
         label = ids[least_labels(len(ids), i, j)] if len(i) else ids
-        at = np.flatnonzero(label != ids)
-        return pa.table({"a": pa.array(ids[at]), "b": pa.array(label[at])})
+        moved = np.flatnonzero(label != ids)
+        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(label[moved])})
 
-    turn = 0
+    turn, before = 0, len(tables)
     while True:
-        live, _ = stored(left.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")).coalesce(parts), "live")
-        tally = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_keys, _ = stored(tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("kinds > 1").select("key", "major").coalesce(parts), "open")
-        if open_keys.isEmpty():
-            return found
         turn += 1
-        own_block = [F.col("key").alias("block")] * by_bucket
-        active, _ = stored(live.join(open_keys, "key").groupBy(*own_block, "id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
+        active = table(live.join(keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
         # the first pivots meet members that nothing connects yet, so a few are enough
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots if turn > 1 else max(1, pivots // 8)))
-        minor = active.where("minor")
-        own = (minor if by_bucket else minor.join(blocks, "id")).groupBy("block", slot.alias("slot")).agg(F.min("id").alias("id")).select(*at)
-        own, _ = stored(own.coalesce(parts), "pivots")
-        here = body.join(active.select(*at), at).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
-        sent = body.join(own, at).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
-        new, _ = stored(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
+        most = F.col("most") if turn > 1 else F.greatest(F.lit(1), F.floor(F.col("most") / 8))
+        own = active.where("minor").join(blocks, "id").join(cuts, "block").groupBy("block", F.pmod(F.xxhash64("id", F.lit(turn)), most).alias("slot")).agg(F.min("id").alias("id"))
+        own = table(own.select("id").coalesce(parts), "pivots")
+        placed = body.join(cuts.select("block", "tiles"), "block")
+        here = placed.join(active.select("id"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))
+        sent = placed.join(own, "id").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "id", "data", F.lit(True).alias("pivot"))
+        new = table(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
         if not new.isEmpty():
-            found, _ = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "components")
-        left = live.select("key", "id").join(own.toDF(*of), of, "left_anti")
+            found = grown(new)
+        left = table(live.join(keys.select("key"), "key").select("key", "id").join(own, "id", "left_anti"), "left")
+        live, keys = unfinished(left)
+        if keys.isEmpty():
+            return found
+        for old in tables[before:]:
+            if old is not live and old is not keys:
+                remove(spark, at[id(old)])
+        tables[before:] = [live, keys]

@@ -8,12 +8,13 @@ deviations to spare, are dropped; the others are decided on their full sets.  Wi
 pair at similarity 0.8 misses all bands with probability 5e-8.
 
 Documents with equal sets form one class before anything is compared; components of classes come
-from link_blocks(), which emits no group's pairs.
+from link_blocks(), which emits no group's pairs.  A class is known by a hash of its set, so rows of
+one identifier with different texts are different nodes.
 
 A null or empty text, or one without words, has an empty set and links with nothing.  A text of
 fewer words than a shingle has one shingle, the whole.  Rows with a null identifier link with
 nothing.  Repeated rows are copies of each other.  An empty table gives no rows.  Only the two
-named columns are read.
+named columns are read, and the row key where one is named.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import mixed, slices, texts_of, word_hashes
+from .batches import mixed, slices, starts_of, texts_of, word_hashes
 from .common import maybe_in, stored
 from .linking import link_blocks
 
@@ -88,8 +89,8 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bands, sketch; docs has doc_id and text."""
-    schema = "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"
+    """doc_id, row, n, d1, d2 (digest of the set), bands, sketch; docs has doc_id, row and text."""
+    schema = "doc_id bigint, row bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,64 +101,71 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 least = [samples(s) if len(s) else None for s in sets]
                 digest = [np.array([mixed(s, k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest), _lists([none if x is None else band_keys(x) for x in least]), _lists([none if x is None else odd_sketch(x) for x in least])],
-                    ["doc_id", "n", "d1", "d2", "bands", "sketch"],
+                    [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "row")), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest), _lists([none if x is None else band_keys(x) for x in least]), _lists([none if x is None else odd_sketch(x) for x in least])],
+                    ["doc_id", "row", "n", "d1", "d2", "bands", "sketch"],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id and the sorted distinct shingle hashes; docs has id and text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, "text")
             for a, b in slices(texts):
-                sets = [s.tobytes() for s in shingle_sets(texts[a:b], width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), _lists([s.view(np.int64) for s in shingle_sets(texts[a:b], width)])], ["id", "data"])
+
+    return docs.mapInArrow(run, "id bigint, data array<bigint>")
 
-    return docs.mapInArrow(run, "doc_id bigint, hashes binary")
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; linked where 100 * intersection >= percent * union.
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; linked where 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    row_col names a bigint that tells rows of one identifier apart; then row and stays follow, and stays is
+    true for the rows with the least (doc_id, row) of their component, and for those that link with nothing.
+    """
+    row = F.col(row_col) if row_col else F.lit(0)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), F.col(text_col).alias("text"))
     signed, _ = stored(signatures(docs, width), "signatures")
-    classes, _ = stored(
-        signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
-    members = classes.select(F.explode("bands").alias("key"), "id").distinct()
+    sets_of_rows = signed.where("n > 0 and doc_id is not null")
+    # the least row of each set brings its text; sets of one d1, should there be two, are told apart by d2
+    found = sets_of_rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes, _ = stored(found.withColumn("id", F.xxhash64("d1", "d2")), "classes")
+    members = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
     sketches = classes.select("id", "n", "sketch")
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = np.concatenate([u, v])
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of the ids, once each; the bitmap may let other documents through, the joins do not."""
-        chosen = maybe_in(docs.where("doc_id is not null").withColumn("k", F.xxhash64("doc_id")), "k", ids.select(F.xxhash64("id").alias("k")), "k").select("doc_id", "text")
-        return stored(full_sets(chosen, width).groupBy(F.col("doc_id").alias("id")).agg(F.min("hashes").alias("data")), "sets")[0]
-
-    def close(pivots: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Linked places of pivots among each other and with the others."""
-        sets = [np.frombuffer(x, np.uint64) for x in [*pivots, *others]]
-        size = np.array([len(x) for x in sets], np.int64)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        heads, _ = stored(classes.join(ids, "id", "left_semi").select("id", F.col("head.doc_id").alias("__doc"), F.col("head.row").alias("__row"), "d1", "d2"), "heads")
+        some = maybe_in(docs.where("doc_id is not null").withColumn("k", F.xxhash64("doc_id", "row")), "k", heads.select(F.xxhash64("__doc", "__row").alias("k")), "k")
+        own = some.join(heads, (F.col("doc_id") == F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))).select("id", "text")
+        return stored(full_sets(own, width).groupBy("id").agg(F.first("data").alias("data")), "sets")[0]
+
+    def close(pivots: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect all linked sets, as places in the two lists joined."""
+        size = np.concatenate([x.value_lengths().to_numpy() for x in (pivots, others)]).astype(np.int64)
+        every = np.concatenate([x.flatten().to_numpy() for x in (pivots, others)]).view(np.uint64)
+        owner, starts = np.repeat(np.arange(len(size)), size), starts_of(size)
+        label = np.arange(len(size))
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in range(len(pivots)):
-            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
-            both = np.bincount(owner[sets[i][at] == every], minlength=len(sets))
-            j = np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+            own = every[starts[i] : starts[i + 1]]
+            may = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if not may.any():
+                continue
+            at = np.flatnonzero(may[owner])
+            both = np.bincount(owner[at][own[np.minimum(np.searchsorted(own, every[at]), len(own) - 1)] == every[at]], minlength=len(size))
+            j = np.flatnonzero(may & (100 * both >= percent * (size + size[i] - both)))
+            label[np.isin(label, label[j])] = label[i]
             found.append((np.full(len(j), i), j))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def verify(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    def payload(ids: DataFrame) -> DataFrame:
+        return sets_of(ids).select("id", "data", (8 * F.size("data")).cast("bigint").alias("size"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -165,14 +173,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         near, _ = stored(near, "candidates")
         ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
         sets = sets_of(ends)
-        of = lambda s: sets.select(F.col("id").alias(s), F.col("data").alias(f"hashes_{s}"))
-        return near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(overlap, "a bigint, b bigint")
-
-    reached = link_blocks(members, verify, sets_of, close)
-    labels, _ = stored(classes.select("d1", "d2", "n", "id").join(reached, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id")), "labels")
-    linked = signed.where("n > 0 and doc_id is not null").join(labels, ["d1", "d2", "n"]).select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        of = lambda s: sets.select(F.col("id").alias(s), F.col("data").alias(f"set_{s}"))
+        same = F.size(F.array_intersect("set_a", "set_b"))
+        return near.join(of("b"), "b").join(of("a"), "a").where(100 * same >= percent * (F.size("set_a") + F.size("set_b") - same)).select("a", "b")
+
+    reached = link_blocks(members, verify, payload, close)
+    joined, _ = stored(classes.select("d1", "d2", "head", "id").join(reached, "id", "left").select("d1", "d2", "head", F.coalesce("component", "id").alias("component")), "labels")
+    heads, _ = stored(joined.groupBy("component").agg(F.min("head").alias("first")), "heads")
+    labels, _ = stored(joined.join(heads, "component").select("d1", "d2", "first"), "labels")
+    linked = sets_of_rows.join(labels, ["d1", "d2"]).select("doc_id", "row", "n", F.col("first.doc_id").alias("component_id"), F.col("first").eqNullSafe(F.struct("doc_id", "row")).alias("stays"))
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    more = ["row", "stays"] if row_col else []
+    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
