@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..storage import fresh_path, remove, shared_dir, stored
 
-__all__ = ["components", "fresh_path", "in_bitmap", "maybe_in", "remove", "shared_dir", "stored", "unlike"]
+__all__ = ["components", "fresh_path", "in_bitmap", "maybe_in", "remove", "row_hash", "shared_dir", "stored", "unlike"]
 
 #: Bits of the membership bitmap: sixteen for a key, up to 2**28 bits, which are 32 MB.
 LEAST_BITS, MOST_BITS = 20, 28

@@ -241,23 +241,24 @@ def fit(docs: DataFrame, labelled: Column | None = None, text_col: str = "text",
     return KneserNey([(r["lang"], r["text"]) for r in sample])
 
 
-def identify(docs: DataFrame, model: KneserNey | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and accepted in place of columns of these names."""
-    docs = docs.drop("lang_pred", "score", "cross_entropy", "accepted")
+def identify(docs: DataFrame, model: KneserNey | None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, cross_entropy and accepted, their names after prefix, in place of columns of these names."""
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "cross_entropy", "accepted")]
+    docs = docs.drop(*added)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "accepted": F.lit(False)})
+        return docs.withColumns(dict(zip(added, (F.lit("und"), F.lit(0.0), F.lit(None).cast("double"), F.lit(False)), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample_chars n-grams per language
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("accepted", pa.bool_())])
+    types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, text_col)
             for a, b in slices(texts):
-                found = [pa.array(x, t) for x, t in zip(shared.value.predict(texts[a:b]), schema.types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns), *found], [*batch.schema.names, *schema.names])
+                found = [pa.array(x, t) for x, t in zip(shared.value.predict(texts[a:b]), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns), *found], [*batch.schema.names, *added])
 
-    added = docs.limit(0).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "accepted": F.lit(True)})
-    return docs.mapInArrow(run, added.schema)
+    schema = docs.limit(0).withColumns(dict(zip(added, (F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(True)), strict=True))).schema
+    return docs.mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,9 +113,7 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     while True:
         turn += 1
         active = table(live.join(keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
-        # the first pivots meet members that nothing connects yet, so a few are enough
-        most = F.col("most") if turn > 1 else F.greatest(F.lit(1), F.floor(F.col("most") / 8))
-        own = active.where("minor").join(blocks, "id").join(cuts, "block").groupBy("block", F.pmod(F.xxhash64("id", F.lit(turn)), most).alias("slot")).agg(F.min("id").alias("id"))
+        own = active.where("minor").join(blocks, "id").join(cuts, "block").groupBy("block", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("most")).alias("slot")).agg(F.min("id").alias("id"))
         own = table(own.select("id").coalesce(parts), "pivots")
         placed = body.join(cuts.select("block", "tiles"), "block")
         here = placed.join(active.select("id"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("block", "tile", "id", "data", F.lit(False).alias("pivot"))

@@ -91,9 +91,15 @@ def uniform(identifier: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """docs with topic, n_tokens, mix_weight, probability, drawn and copies."""
-    docs = docs.drop(*ADDED)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER, keep: float = KEEP, seed: str = SEED, prefix: str = "") -> DataFrame:
+    """docs with topic, n_tokens, mix_weight, probability, drawn and copies, their names after prefix, in place of columns of these names."""
+    added = {c: f"{prefix}{c}" for c in ADDED}
+    docs = docs.drop(*added.values())
+    own = docs.columns
+    hidden = {c: f"__{i}_own" for i, c in enumerate(own)}  # so that no column of docs clashes
+    names = {c: F.col(hidden[c]) for c in own}
+    docs = docs.toDF(*hidden.values())
+    id_col, text_col, source_col, lang_col = (hidden[next(c for c in own if c.lower() == x.lower())] for x in (id_col, text_col, source_col, lang_col))
     marked = docs.withColumns({"topic": F.coalesce(topic_of(F.col(text_col)), F.lit("prose")), "n_tokens": tokens_of(F.col(text_col))})
     cells, _ = stored(marked.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = rake(cells, targets or {axis: targets_of(cells, axis, power) for axis in AXES}, rounds)
@@ -105,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = keyed.join(weights, ["__s", "__l", "__t"])
     u, often = uniform(F.col(id_col), seed), F.col("mix_weight") * keep
     copies = (F.floor(often) + (u < often - F.floor(often)).cast("int")).cast("int")
-    return joined.withColumns({"drawn": u < F.col("probability"), "copies": copies}).select(*docs.columns, *ADDED)
+    return joined.withColumns({"drawn": u < F.col("probability"), "copies": copies}).select(*(names[c].alias(c) for c in own), *(F.col(c).alias(added[c]) for c in ADDED))
 
 
 def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
