@@ -1,20 +1,20 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-A text is its words, A-Z lower-cased, and one end.  A word is predicted byte by byte in the context
-of all its bytes so far, a node of the trie of all training words; a byte that the node has not
-seen escapes to the last two bytes, then one, none, and all symbols alike.  On each escape the
-symbols that the longer context has seen are excluded.  The trie's escape probabilities are
-estimated from the corpus: by depth, count and number of symbols of a node, the share of
-occurrences that are new to their node when met after all its others.  The orders below count
-distinct words, as they predict what is new, and escape by method C.  Above the trie stand two
-adaptive contexts of the document itself, for the first bytes of a word and for the whole word:
-what came c times among i words is predicted (c + A p) / (i + A), where p is the context below.
-No context crosses a word, so the score does not depend on the order of words but by chance.
-
-The trie covers every training text, and no machine holds it.  Each block of documents asks for its
-distinct words; the vocabulary is sorted into ranges, and a range holds every node that is no
-prefix of its first or last word.  Those few are summed over the ranges and sent to all.  Code
-lengths go back to the blocks that asked, where documents are scored as a whole.
+A text is its words, A-Z lower-cased, one space between two of them, and one end.  Each byte is predicted in
+the context of the ORDER bytes before it, whatever words they belong to; the end of a text stands before
+its first byte.  A symbol that a context has not seen escapes to the context without its oldest byte, and
+so on to all symbols alike; on each escape the symbols that the longer context has seen are excluded, so the
+probabilities of a context sum to one.  The longest contexts count occurrences, the shorter ones the
+distinct longer contexts (update exclusion), as they predict what is new.  Escape probabilities are
+estimated from the corpus: by order, count and number of symbols of a context, the share of occurrences
+that are new to their context when met after all its others.
+
+The trie covers every training text and grows with the corpus; no machine holds it.  A gram is a context and its symbol,
+ORDER + 1 bytes in one number with the last byte of the context foremost, so a node's subtrie is a range of sorted numbers.
+Each block of documents asks for its distinct grams and words, in one row for each part of the trie; a part holds every gram
+whose context ends in the same three bytes, and sums, estimates and codes them.  Contexts of two
+bytes and fewer are summed over the parts: 256**3 counts at most, whatever the corpus.  Code lengths go back to the
+blocks that asked, where documents are scored.  Words are known by 63 bits of a hash.
 
 A null or empty text is the end alone.  With nothing to train on, train_tokens is 0 and symbols are
 alike.  Repeated rows count as often as they occur, and get a row each.  A null identifier trains
@@ -24,8 +24,6 @@ and the named flag and block are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,358 +31,295 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import starts_of, texts_of
+from .batches import mixed, slices, starts_of, strings, texts_of, word_hashes
 from .common import stored
 
-#: No word holds a line feed, so this stands for the end of a text.
-TEXT_END = b"\n"
-END, SYMBOLS = 256, 257
-MAX_DEPTH, FLUSH_WORDS, RANGE_WORDS = 64, 1_000_000, 500_000
-#: Symbols of a word that the document's own first context predicts; words after which it weighs as much as the trie, and as the first context.
-PREFIX, HEAD_ADAPT, WORD_ADAPT = 3, 200.0, 3000.0
-
-
-def words_of(text: str) -> list[bytes]:
-    """Bytes.split cuts at \\x20 and \\x09-\\x0D, bytes.lower changes A-Z alone."""
-    return text.encode("utf-8", "replace").lower().split()
-
-
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words, each followed by END; where each word starts."""
-    starts = starts_of(np.array([len(w) + 1 for w in words], np.int64))
-    x = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
-    x[starts[1:] - 1] = END
-    return x, starts
-
-
-def _contexts(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Number of the two symbols before each place; END stands before a word."""
-    one, two = np.roll(x, 1), np.roll(x, 2)
-    one[starts[:-1]] = two[starts[:-1]] = END
-    second = starts[:-1] + 1
-    two[second[second < starts[1:]]] = END
-    return two * SYMBOLS + one
-
-
-def low_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context of two, symbol) of distinct words, and how often each occurs."""
-    x, starts = _flat(words)
-    return np.unique(_contexts(x, starts) * SYMBOLS + x, return_counts=True)
-
-
-class LowOrders:
-    """Distribution over all symbols for the last two symbols, with exclusion on every escape."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        context, symbol = np.divmod(np.asarray(keys, np.int64), SYMBOLS)
-        counts = np.asarray(counts, np.float64)
-
-        def table(row: np.ndarray, n: int) -> np.ndarray:
-            return np.bincount(row * SYMBOLS + symbol, counts, n * SYMBOLS).reshape(n, SYMBOLS)
-
-        def blended(own: np.ndarray, below: np.ndarray) -> np.ndarray:
-            n, seen = own.sum(axis=1, keepdims=True), own > 0
-            q = seen.sum(axis=1, keepdims=True)
-            rest = np.where(seen, 0, below)
-            left = rest.sum(axis=1, keepdims=True)
-            escape = np.where(left > 0, q / np.maximum(n + q, 1), 0)
-            out = own / np.maximum(n, 1) * (1 - escape) + rest / np.where(left > 0, left, 1) * escape
-            return np.where(n > 0, out, below)
-
-        zero = blended(table(np.zeros(len(symbol), np.int64), 1), np.full((1, SYMBOLS), 1 / SYMBOLS))
-        one = blended(table(context % SYMBOLS, SYMBOLS), zero)
-        own, at = np.unique(context, return_inverse=True)
-        two = blended(table(at, len(own)), one[own % SYMBOLS]) if len(own) else np.zeros((0, SYMBOLS))
-        self.p = np.concatenate([two, one])
-        self.row = len(own) + np.arange(SYMBOLS * SYMBOLS) % SYMBOLS
-        self.row[own] = np.arange(len(own))
-
-
-def boundary_counts(words: list[bytes], counts: np.ndarray) -> list[tuple[bytes, int, int]]:
-    """(prefix, symbol, count) below every prefix of the first and the last of the sorted words."""
-    out, total = [], starts_of(counts)
-
-    def end_of(prefix: bytes) -> int:
-        """Place after the words with that prefix: where its successor among prefixes would stand."""
-        cut = prefix.rstrip(b"\xff")
-        return bisect_left(words, cut[:-1] + bytes([cut[-1] + 1])) if cut else len(words)
-
-    for prefix in {w[:d] for w in (words[0], words[-1]) for d in range(min(len(w) + 1, MAX_DEPTH))}:
-        a, b = bisect_left(words, prefix), end_of(prefix)
-        d = len(prefix)
-        while a < b:
-            if len(words[a]) == d:
-                end, symbol = a + 1, END
-            else:
-                symbol = words[a][d]
-                end = end_of(prefix + bytes([symbol]))
-            if n := int(total[end] - total[a]):
-                out.append((prefix, symbol, n))
-            a = end
-    return out
+#: Bytes of the longest context; of those that a part has in common.
+ORDER, SHARED = 5, 3
+#: 0xFF is no byte of UTF-8 and stands for the end of a text.
+END, SYMBOLS = 255, 256
+#: Keys held before they are merged; text of a block; parts of the trie at least, and text for each part beyond.
+MERGE_KEYS, BLOCK_BYTES, LEAST_PARTS, PART_BYTES = 4_000_000, 64_000_000, 64, 50_000_000
+_U = np.uint64
+_WORD = _U(1 << 63)
+#: The end of a text as a word.
+TEXT_END = int(mixed(np.array([1], np.uint64))[0] | _WORD)
+_SYMBOL = _U(255)
 
 
-def _levels(words: list[bytes], counts: np.ndarray, boundary: dict[bytes, dict[int, int]] | None = None) -> Iterator[tuple]:
-    """The trie of the sorted distinct words, depth by depth.
+def bytes_of(text: str) -> bytes:
+    """bytes.split cuts at \\x20 and \\x09-\\x0D, bytes.lower changes A-Z alone."""
+    return b" ".join(text.encode("utf-8", "replace").lower().split())
 
-    Yields depth, the words that are that deep, the place of their symbol there, the child of each,
-    and by child: its first word's place, node, count; by node: count, children with a count,
-    whether other ranges may share it.  Counts of nodes in boundary are taken from there.
-    """
-    x, starts = _flat(words)
-    alive, fresh = np.arange(len(words)), np.zeros(len(words), bool)
-    fresh[:1] = True
-    for d in range(MAX_DEPTH):
-        if not len(alive):
-            return
-        at = starts[alive] + d
-        symbol = x[at]
-        child = fresh.copy()
-        child[1:] |= symbol[1:] != symbol[:-1]
-        child_at, node_at = np.flatnonzero(child), np.flatnonzero(fresh)
-        c = np.add.reduceat(counts[alive], child_at).astype(np.float64)
-        node = np.cumsum(fresh)[child_at] - 1
-        n, q = np.bincount(node, c, len(node_at)), np.bincount(node, c > 0, len(node_at))
-        shared = np.zeros(len(node_at), bool)
-        for k in {0, len(node_at) - 1}:
-            prefix = words[alive[node_at[k]]][:d]
-            shared[k] = words[0].startswith(prefix) or words[-1].startswith(prefix)
-            if boundary is None or not shared[k]:
-                continue
-            found = boundary.get(prefix, {})
-            mine = np.flatnonzero(node == k)
-            c[mine] = [found.get(s, 0) for s in symbol[child_at[mine]].tolist()]
-            n[k], q[k] = sum(found.values()), len(found)
-        yield d, alive, at, np.cumsum(child) - 1, at[child_at], node, c, n, q, shared
-        more = symbol != END
-        alive, fresh = alive[more], child[more]
-
-
-def _escape_class(d: int, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Class of a node for escape estimation: depth, count and number of symbols, coarser as they grow."""
-    return (min(d, 7) * 32 + np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 31)) * 16 + np.minimum(q, 15).astype(np.int64)
-
-
-ESCAPE_CLASSES = 8 * 32 * 16
-
-
-def escape_events(d: int, n: np.ndarray, q: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By class, new and known symbols, when each occurrence is met after all others of its node; once: symbols seen once."""
-    ok = n > 1
-    n, q, once = n[ok], q[ok], once[ok]
-    new = np.bincount(_escape_class(d, n - 1, q - 1), once, ESCAPE_CLASSES)
-    known = np.bincount(_escape_class(d, n - 1, q), n - once, ESCAPE_CLASSES)
-    return new, known
-
-
-def escape_probabilities(new: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return (new + 0.5) / (new + known + 1.0)
-
-
-def range_events(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """escape_events() of the nodes that no other range shares."""
-    new, known = np.zeros(ESCAPE_CLASSES), np.zeros(ESCAPE_CLASSES)
-    for d, _, _, _, _, node, c, n, q, shared in _levels(words, counts):
-        own = ~shared
-        events = escape_events(d, n[own], q[own], np.bincount(node, c == 1, len(n))[own])
-        new, known = new + events[0], known + events[1]
-    return new, known
-
-
-def boundary_events(boundary: dict[bytes, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    new, known = np.zeros(ESCAPE_CLASSES), np.zeros(ESCAPE_CLASSES)
-    for prefix, found in boundary.items():
-        c = np.array(list(found.values()), np.float64)
-        events = escape_events(len(prefix), c.sum(keepdims=True), np.array([len(c)]), (c == 1).sum(keepdims=True))
-        new, known = new + events[0], known + events[1]
-    return new, known
-
-
-def trie_log10(words: list[bytes], counts: np.ndarray, low: LowOrders, escape: np.ndarray, boundary: dict[bytes, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each of the sorted distinct words of a range, and of its first PREFIX symbols."""
-    x, starts = _flat(words)
-    row = low.row[_contexts(x, starts)]
-    out, prefix = np.zeros(len(words)), np.zeros(len(words))
-    left = np.zeros(0, np.int64)
-    for d, alive, at, child, child_at, node, c, n, q, shared in _levels(words, counts, boundary):
-        pl = low.p[row[child_at], x[child_at]]
-        shut = np.bincount(node, pl * (c > 0), len(n))
-        for k in np.flatnonzero(shared):  # siblings in other ranges are excluded too
-            mine = np.flatnonzero(node == k)[:1]
-            found = boundary.get(words[alive[np.searchsorted(child, mine[0])]][:d], {})
-            shut[k] = low.p[row[child_at[mine]], list(found)].sum() if found else 0
-        e = escape[_escape_class(d, n, q)]
-        e = np.where(q >= SYMBOLS, 0.0, e)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10((1 - e)[node] * c / n[node])
-            escaped = np.log10(e[node] * pl / np.maximum(1 - shut[node], pl))
-        out[alive] += np.where(n[node] == 0, np.log10(pl), np.where(c > 0, seen, escaped))[child]
-        if d < PREFIX:
-            prefix[alive] = out[alive]
-        left = alive[x[at] != END] if d == MAX_DEPTH - 1 else left
-    if len(left):
-        sizes = starts[left + 1] - starts[left] - MAX_DEPTH
-        at = np.repeat(starts[left] + MAX_DEPTH - starts_of(sizes)[:-1], sizes) + np.arange(sizes.sum())
-        out[left] += np.add.reduceat(np.log10(low.p[row[at], x[at]]), starts_of(sizes)[:-1])
-    return out, prefix
-
-
-def _before(at: np.ndarray) -> np.ndarray:
-    """How often each entry occurs before its place."""
-    order = np.argsort(at, kind="stable")
-    ranked = at[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    out = np.empty(len(at))
-    out[order] = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    return out
 
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the texts, each with its end, one after the other; where each text's begin."""
+    pad = bytes([END]) * ORDER
+    x = np.frombuffer(b"".join(pad + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
+    out = x.copy()
+    for k in range(1, ORDER + 1):
+        out[k:] |= x[:-k] << _U(8 * (ORDER + 1 - k))
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = starts_of(lengths)
+    return out[np.arange(starts[-1]) + np.repeat(np.arange(1, len(texts) + 1) * ORDER, lengths)], starts
 
-def adaptive_log10(word: np.ndarray, head: np.ndarray, head_code: np.ndarray, code: np.ndarray) -> float:
-    """log10 probability of a document: numbers of its words and of their first symbols, with the trie's code lengths."""
-    seen = np.arange(len(word))
-    start = _blended(_before(head), seen, head_code, HEAD_ADAPT)
-    return float(_blended(_before(word), seen, start + code - head_code, WORD_ADAPT).sum())
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts' words, each text with its end; where each text's begin."""
+    h, starts = word_hashes(texts)
+    n = np.diff(starts)
+    ends = starts_of(n + 1)
+    out = np.full(ends[-1], TEXT_END, np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)] = h | _WORD
+    return out, ends
 
-def _blended(count: np.ndarray, seen: np.ndarray, below: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of (count + weight * 10**below) / (seen + weight); very long words would underflow outside logarithms."""
-    ten = np.log(10)
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(count), np.log(weight) + ten * below) / ten - np.log10(seen + weight)
 
+def shorter(grams: np.ndarray, order: int) -> np.ndarray:
+    """Grams of the longest context cut to one of that order."""
+    return (grams >> _U(8 * (ORDER + 1 - order))) << _U(8) | (grams & _SYMBOL)
 
-def head_of(word: bytes) -> bytes:
-    """The first PREFIX symbols, the end of the word included."""
-    return word[:PREFIX] if len(word) >= PREFIX else word + b"\0"
 
+def cut(grams: np.ndarray) -> np.ndarray:
+    """Grams without the oldest byte of their context."""
+    return (grams >> _U(16)) << _U(8) | (grams & _SYMBOL)
 
-def _asked(docs: DataFrame) -> DataFrame:
-    """(block, word, c): the distinct words of every block, with their count in its training texts."""
-    names = ["block", "word", "c"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counted, other = None, Counter(), set()
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
 
-        def flush() -> pa.RecordBatch:
-            words = [*counted, *(other - counted.keys())]
-            n = np.zeros(len(words), np.int64)
-            n[: len(counted)] = list(counted.values())
-            counted.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(words, pa.binary()), pa.array(n)], names)
 
-        for batch in batches:
-            for own, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), texts_of(batch, "text"), strict=True):
-                if (own != block or len(counted) + len(other) > FLUSH_WORDS) and (counted or other):
-                    yield flush()
-                block = own
-                words = words_of(text)
-                words.append(TEXT_END)
-                counted.update(words) if train else other.update(words)
-        if counted or other:
-            yield flush()
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: of grams by the last bytes of the context, of words by themselves."""
+    of = np.where(keys >= _WORD, keys, keys >> _U(8 * (ORDER + 1 - SHARED)))
+    return (mixed(of, 9) % _U(parts)).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte of equal weight, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(x: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+class Order:
+    """The contexts of one order: sorted grams, counts, and of each gram's context count and symbols."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.grams, self.n = grams, n.astype(np.float64)
+        self.contexts, self.at = np.unique(grams >> _U(8), return_inverse=True)
+        self.total = np.bincount(self.at, self.n, len(self.contexts))
+        self.kinds = np.bincount(self.at, minlength=len(self.contexts))
+
+    def below(self, order: int) -> Order:
+        """The next shorter contexts; they count distinct longer ones."""
+        return Order(*np.unique(cut(self.grams), return_counts=True))
+
+    def events(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """By class, new and known symbols, when each occurrence is met after all others of its context."""
+        ok = self.total > 1
+        once = np.bincount(self.at, self.n == 1, len(self.contexts))[ok]
+        n, q = self.total[ok], self.kinds[ok]
+        return np.bincount(escape_class(order, n - 1, q - 1), once, ESCAPE_CLASSES), np.bincount(escape_class(order, n - 1, q), n - once, ESCAPE_CLASSES)
 
-    return docs.select("block", "train", "text").mapInArrow(run, "block bigint, word binary, c bigint")
+    def blended(self, order: int, below: np.ndarray, escape: np.ndarray) -> None:
+        """Probabilities of the grams, and what of the order below is left to a symbol that a context has not seen."""
+        e = np.where(self.kinds >= SYMBOLS, 0.0, escape[escape_class(order, self.total, self.kinds)])
+        shut = np.bincount(self.at, below, len(self.contexts))
+        self.p = (1 - e)[self.at] * self.n / self.total[self.at]
+        self.left = e / np.maximum(1 - shut, 1e-12)
+
+    def predict(self, grams: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities of grams of this order, given those of the order below."""
+        if not len(self.grams):
+            return below
+        i = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        j = np.minimum(np.searchsorted(self.contexts, grams >> _U(8)), len(self.contexts) - 1)
+        known = self.contexts[j] == grams >> _U(8)
+        return np.where(self.grams[i] == grams, self.p[i], np.where(known, self.left[j] * below, below))
+
+
+ESCAPE_CLASSES = (ORDER + 1) * 32 * 32
+
+
+def escape_class(order: int, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Order, count and number of symbols of a context, coarser as they grow."""
+    return (order * 32 + np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 31)) * 32 + np.minimum(q, 31).astype(np.int64)
+
+
+def orders_of(grams: np.ndarray, n: np.ndarray, top: int, low: int) -> list[Order]:
+    """Orders low to top, from the grams of order top."""
+    out = [Order(grams, n)]
+    for k in range(top - 1, low - 1, -1):
+        out.insert(0, out[0].below(k))
+    return out
+
+
+def low_predict(low: list[Order], grams: np.ndarray) -> np.ndarray:
+    """Probabilities of grams of order SHARED - 1."""
+    p = np.full(len(grams), 1 / SYMBOLS)
+    for k, order in enumerate(low):
+        own = (grams >> _U(8 * (SHARED - k))) << _U(8) | (grams & _SYMBOL)
+        p = order.predict(own, p)
+    return p
+
+
+def fit_low(grams: np.ndarray, n: np.ndarray, events: np.ndarray) -> tuple[list[Order], np.ndarray]:
+    """The short contexts, and escape probabilities from the events of all orders; events has those of the longer ones."""
+    low, events = orders_of(grams, n, SHARED - 1, 0), events.copy()
+    for k, order in enumerate(low):
+        events += np.stack(order.events(k))
+    escape = (events[0] + 0.5) / (events.sum(axis=0) + 1.0)
+    p = np.full(len(low[0].grams), 1 / SYMBOLS)
+    for k, order in enumerate(low):
+        order.blended(k, p, escape)
+        if k + 1 < len(low):
+            p = order.predict(cut(low[k + 1].grams), np.zeros(len(low[k + 1].grams)))
+    return low, escape
+
+
+def log10_of(asked: np.ndarray, grams: np.ndarray, n: np.ndarray, low: list[Order], escape: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the asked grams of a part, whose training grams are given."""
+    p = low_predict(low, shorter(asked, SHARED - 1))
+    orders = orders_of(grams, n, ORDER, SHARED)
+    below = low_predict(low, cut(orders[0].grams))
+    for k, order in enumerate(orders, SHARED):
+        order.blended(k, below, escape)
+        p = order.predict(shorter(asked, k), p)
+        if k < ORDER:
+            above = orders[k + 1 - SHARED].grams
+            below = order.predict(cut(above), np.zeros(len(above)))
+    return np.log10(p)
+
+
+def _asked(docs: DataFrame, parts: int) -> DataFrame:
+    """(block, part, keys, counts): the sorted distinct keys of every block, with their counts in its training texts."""
+    names = ["block", "part", "keys", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        sizes: dict[int, int] = {}
+
+        def flush(block: int) -> pa.RecordBatch:
+            keys, counts = merged(*held.pop(block))
+            part = part_of(keys, parts)
+            order = np.argsort(part, kind="stable")
+            keys, counts = keys[order], counts[order]
+            own, at = np.unique(part[order], return_index=True)
+            ends = np.append(at[1:], len(keys))
+            rows = [[packed(x[a:b]) for a, b in zip(at, ends, strict=True)] for x in (keys, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array(own.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)], names)
+
+        for batch in batches:
+            texts = texts_of(batch, "text")
+            blocks, train = batch.column("block").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks).tolist():
+                for flag in (True, False):
+                    own = [bytes_of(texts[i]) for i in np.flatnonzero((blocks == block) & (train == flag)).tolist()]
+                    for a, b in slices(own):
+                        for keys in (grams_of(own[a:b])[0], words_of(own[a:b])[0]):
+                            kinds, n = np.unique(keys, return_counts=True)
+                            into = held.setdefault(block, ([], []))
+                            into[0].append(kinds)
+                            into[1].append(n if flag else np.zeros(len(n), np.int64))
+                            sizes[block] = sizes.get(block, 0) + len(kinds)
+                        if sizes[block] > MERGE_KEYS:
+                            keys, counts = merged(*held[block])
+                            held[block], sizes[block] = ([keys], [counts]), 0
+        for block in list(held):
+            yield flush(block)
+
+    return docs.select("block", "train", "text").mapInArrow(run, "block bigint, part int, keys binary, counts binary")
 
 
 def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", block_col: str = "block") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    block_col is any bigint that splits the rows into blocks of bounded text, best one that rows of
-    an input split share: the fewer blocks a task reads, the fewer words are asked for twice.
+    block_col is any bigint that rows which are read together share, best one of the input split; blocks of more than
+    BLOCK_BYTES of text on average are cut by a hash of the text.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.coalesce(F.col(block_col), F.lit(0)).alias("block"))
-    asked, _ = stored(_asked(docs), "asked")
-    vocabulary = asked.groupBy("word").agg(F.sum("c").alias("c"))
-    vocabulary, _ = stored(vocabulary, "vocabulary")
-    total = vocabulary.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ranges = max(1, spark.sparkContext.defaultParallelism, total["kinds"] // RANGE_WORDS + 1)
-    ranged, _ = stored(vocabulary.repartitionByRange(ranges, "word").withColumn("part", F.spark_partition_id()), "ranges")
-
-    def sorted_words(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-        table = table.sort_by("word")
-        return table.column("word").to_pylist(), table.column("c").to_numpy()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.coalesce(F.col(block_col), F.lit(0)).cast("bigint").alias("block"))
+    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("bytes"), F.approx_count_distinct("block").alias("blocks")).first()
+    pieces = int(volume["bytes"] // (BLOCK_BYTES * max(1, volume["blocks"])) + 1)
+    parts = int(max(LEAST_PARTS, volume["bytes"] // PART_BYTES))
+    if pieces > 1:
+        docs = docs.withColumn("block", F.xxhash64("block", F.pmod(F.xxhash64("text"), F.lit(pieces))))
+    asked, _ = stored(_asked(docs, parts), "asked")
 
     def gather(table: pa.Table) -> pa.Table:
-        words, counts = sorted_words(table)
-        edge = boundary_counts(words, counts)
-        keys, n = low_counts([w for w, c in zip(words, counts.tolist(), strict=True) if c]) if counts.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        events = np.concatenate(range_events(words, counts)).astype(np.int64)
-        some = np.flatnonzero(events)
-        rows = Counter({(e[0], e[1]): e[2] for e in edge})
-        rows.update({(None, k): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)})
-        rows.update({(None, -1 - k): c for k, c in zip(some.tolist(), events[some].tolist(), strict=True)})
-        return packed(table.column("part")[0].as_py() % merges, rows)
-
-    def packed(merge: int, rows: Counter) -> pa.Table:
-        """One row: summing ranges must not make a row for every number of every range."""
-        prefix, symbol = [k[0] for k in rows], [k[1] for k in rows]
-        types = (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array([x], t) for x, t in zip((merge, prefix, symbol, list(rows.values())), types, strict=True)], ["merge", "prefix", "symbol", "n"])
-
-    def unpacked(rows: list[tuple[list, list, list]]) -> Counter:
-        out: Counter = Counter()
-        for prefix, symbol, n in rows:
-            for k, c in zip(zip(prefix, symbol, strict=True), n, strict=True):
-                out[k] += c
-        return out
-
-    def merged(table: pa.Table) -> pa.Table:
-        return packed(table.column("merge")[0].as_py(), unpacked(list(zip(*(table.column(c).to_pylist() for c in ("prefix", "symbol", "n")), strict=True))))
-
-    # a range has at most 2 * MAX_DEPTH * 257 counts, 257**3 of the low orders and two per class of
-    # nodes; as many rows as the square root of the number of ranges come to the driver
-    merges = max(1, int(ranges**0.5))
-    kind = "merge int, prefix array<binary>, symbol array<bigint>, n array<bigint>"
-    sums = ranged.groupBy("part").applyInArrow(gather, kind).groupBy("merge").applyInArrow(merged, kind).collect()
-    gathered = [{"prefix": k[0], "symbol": k[1], "n": c} for k, c in unpacked([([None if x is None else bytes(x) for x in r["prefix"]], r["symbol"], r["n"]) for r in sums]).items()]
-    boundary: dict[bytes, dict[int, int]] = {}
-    for r in gathered:
-        if r["prefix"] is not None:
-            boundary.setdefault(bytes(r["prefix"]), {})[r["symbol"]] = r["n"]
-    low = sorted((r["symbol"], r["n"]) for r in gathered if r["prefix"] is None and r["symbol"] >= 0)
-    new, known = boundary_events(boundary)
-    events = np.concatenate([new, known])
-    for r in gathered:
-        if r["symbol"] < 0:
-            events[-1 - r["symbol"]] += r["n"]
-    orders = LowOrders(np.array([k for k, _ in low], np.int64), np.array([n for _, n in low], np.int64))
-    model = spark.sparkContext.broadcast((orders, escape_probabilities(*np.split(events, 2)), boundary))
-
-    def coded(table: pa.Table) -> pa.Table:
-        words, counts = sorted_words(table)
-        code, head = trie_log10(words, counts, *model.value)
-        return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts), "code": pa.array(code), "head": pa.array(head)})
-
-    codes, _ = stored(ranged.groupBy("part").applyInArrow(coded, "word binary, c bigint, code double, head double"), "codes")
-    answers = asked.select("block", "word").join(codes, "word")
-    n_train, scale = int(total["n"]), float(total["n"]) + 0.5 * (total["v"] + 1)
+        """The part's counts in one row; counts of shorter contexts and events of longer ones, a row each; totals of words."""
+        keys, counts = merged(*([unpacked(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("keys", np.uint64), ("counts", np.int64))))
+        seen = counts > 0
+        word = keys >= _WORD
+        orders = orders_of(keys[seen & ~word], counts[seen & ~word], ORDER, SHARED)
+        low = orders[0].below(SHARED - 1)
+        events = np.sum([order.events(k) for k, order in enumerate(orders, SHARED)], axis=0).astype(np.int64)
+        some = np.flatnonzero(events.sum(axis=0))
+        kind = np.repeat([0, 1, 2, 3], [1, len(low.grams), len(some), 1]).astype(np.int32)
+        totals = int(counts[word].sum()), int((seen & word).sum())
+        a = np.concatenate([[0], low.grams.astype(np.int64), some, [0]])
+        b = np.concatenate([[0], low.n.astype(np.int64), events[0][some], [totals[0]]]).astype(np.int64)
+        c = np.concatenate([[0], np.zeros(len(low.grams), np.int64), events[1][some], [totals[1]]]).astype(np.int64)
+        none = [None] * (len(kind) - 1)
+        blobs = [pa.array([packed(x[seen])] + none, pa.binary()) for x in (keys, counts)]
+        part = pa.array(np.full(len(kind), table.column("part")[0].as_py(), np.int32))
+        return pa.table([part, pa.array(kind), *map(pa.array, (a, b, c)), *blobs], ["part", "kind", "a", "b", "c", "keys", "counts"])
+
+    kind = "part int, kind int, a bigint, b bigint, c bigint, keys binary, counts binary"
+    trie, _ = stored(asked.groupBy("part").applyInArrow(gather, kind), "trie")
+    # 256**3 contexts and symbols and ESCAPE_CLASSES classes at most
+    sums = trie.where("kind > 0").groupBy("kind", "a").agg(F.sum("b").alias("b"), F.sum("c").alias("c")).collect()
+    short = np.array(sorted((r["a"], r["b"]) for r in sums if r["kind"] == 1), np.int64).reshape(-1, 2)
+    events = np.zeros((2, ESCAPE_CLASSES))
+    for r in sums:
+        if r["kind"] == 2:
+            events[:, r["a"]] += r["b"], r["c"]
+    n_train, v_train = next(((r["b"], r["c"]) for r in sums if r["kind"] == 3), (0, 0))
+    model = spark.sparkContext.broadcast(fit_low(short[:, 0].astype(np.uint64), short[:, 1], events))
+
+    def answer(rows: pa.Table, own: pa.Table) -> pa.Table:
+        """For each block's row, its keys and a value for each: log10 probabilities of grams, counts of words."""
+        keys, counts = (unpacked(own.column(c)[0].as_py(), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64))) if own.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        cutoff = np.searchsorted(keys, _WORD)
+        every = [unpacked(x) for x in rows.column("keys").to_pylist()]
+        distinct = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        ends = np.searchsorted(distinct, _WORD)
+        value = np.zeros(len(distinct))
+        value[:ends] = log10_of(distinct[:ends], keys[:cutoff], counts[:cutoff], *model.value)
+        known = np.searchsorted(distinct, keys[cutoff:])
+        value[known] = counts[cutoff:]
+        values = [packed(value[np.searchsorted(distinct, x)]) for x in every]
+        return pa.table({"block": rows.column("block"), "keys": rows.column("keys"), "found": pa.array(values, pa.binary())})
+
+    own = trie.where("kind = 0").select("part", "keys", "counts")
+    answers = asked.select("part", "block", "keys").groupBy("part").cogroup(own.groupBy("part")).applyInArrow(answer, "block bigint, keys binary, found binary")
+    scale = float(n_train) + 0.5 * (v_train + 1)
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.column("word").to_pylist()
-        number, heads = {w: i for i, w in enumerate(words)}, {}
-        head = np.fromiter((heads.setdefault(head_of(w), len(heads)) for w in words), np.int64, len(words))
-        c, code, head_code = (known.column(x).to_numpy() for x in ("c", "code", "head"))
-        base = np.log10((c + 0.5) / scale)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in known.column("keys").to_pylist())])
+        value = np.concatenate([np.zeros(0), *(unpacked(x, np.float64) for x in known.column("found").to_pylist())])
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
         out: list[list] = [[] for _ in range(4)]
-        for text in rows.column("text").to_pylist():
-            found = words_of(text or "")
-            found.append(TEXT_END)
-            at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            for column, value in zip(out, (len(at), int(np.count_nonzero(c[at])), float(base[at].sum()), adaptive_log10(at, head[at], head_code[at], code[at])), strict=True):
-                column.append(value)
-        n_tokens, n_known, base_score, scores = out
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"), "train": rows.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                "base_score": pa.array(base_score, pa.float64()), "score": pa.array(scores, pa.float64()),
-            }
-        )
+        texts = [bytes_of(x or "") for x in strings(rows.column("text").combine_chunks())]
+        for a, b in slices(texts):
+            (grams, at), (words, ends) = grams_of(texts[a:b]), words_of(texts[a:b])
+            kinds, place = np.unique(grams, return_inverse=True)
+            c = value[np.searchsorted(keys, words)]
+            found = np.diff(ends), np.add.reduceat(c > 0, ends[:-1], dtype=np.int64), np.add.reduceat(np.log10((c + 0.5) / scale), ends[:-1]), np.add.reduceat(value[np.searchsorted(keys, kinds)][place], at[:-1])
+            for column, x in zip(out, found, strict=True):
+                column.append(x)
+        columns = [pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t)) for x, t in zip(out, (np.int64, np.int64, np.float64, np.float64), strict=True)]
+        return pa.table([rows.column("doc_id"), rows.column("train"), *columns], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

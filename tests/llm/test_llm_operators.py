@@ -375,99 +375,81 @@ def test_pseudonyms_odd(odd):
 # 7 prediction by partial matching
 
 
-def naive_scores(rows):
-    """(n_tokens, n_known, N, base, score) by (text, train); plain dictionaries and loops."""
-    counts = collections.Counter(w for t, train in rows if train for w in [*ppm.words_of(t or ""), ppm.TEXT_END])
-    total, kinds = sum(counts.values()), len(counts)
-    trie, low = collections.defaultdict(collections.Counter), [collections.defaultdict(collections.Counter) for _ in range(3)]
-    for w, c in counts.items():
-        h = (ppm.END, ppm.END)
-        for k, s in enumerate([*w, ppm.END]):
-            if k < ppm.MAX_DEPTH:
-                trie[w[:k]][s] += c
-            for order, key in enumerate(((), h[1:], h)):
-                low[order][key][s] += 1
-            h = (h[1], s)
-    new, known = np.zeros(ppm.ESCAPE_CLASSES), np.zeros(ppm.ESCAPE_CLASSES)
-    for prefix, node in trie.items():
-        n, q = sum(node.values()), len(node)
-        for c in node.values():
-            if n > 1:
-                (new if c == 1 else known)[ppm._escape_class(len(prefix), np.array([n - 1]), np.array([q - (c == 1)]))[0]] += c
-    escape = (new + 0.5) / (new + known + 1)
+def naive_model(rows):
+    """A function (context, symbol) -> probability, with dictionaries of contexts, the oldest byte first."""
+    tries = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
+    for t, train in rows:
+        x = [ppm.END] * ppm.ORDER + list(b" ".join((t or "").encode().lower().split())) + [ppm.END]
+        for i in range(ppm.ORDER, len(x)) if train else ():
+            tries[ppm.ORDER][tuple(x[i - ppm.ORDER : i])][x[i]] += 1
+    for k in range(ppm.ORDER - 1, -1, -1):  # shorter contexts count distinct longer ones
+        for context, node in tries[k + 1].items():
+            for s in node:
+                tries[k][context[1:]][s] += 1
+    cell = lambda k, n, q: int(ppm.escape_class(k, np.array([n]), np.array([q]))[0])
+    new, known = collections.Counter(), collections.Counter()
+    for k, trie in enumerate(tries):
+        for node in trie.values():
+            n, q = sum(node.values()), len(node)
+            for c in node.values() if n > 1 else ():
+                (new if c == 1 else known)[cell(k, n - 1, q - (c == 1))] += c
     memo = {}
 
-    def lower(h, order):
-        if order < 0:
-            return np.full(ppm.SYMBOLS, 1 / ppm.SYMBOLS)
-        key = ((), h[1:], h)[order]
-        if (order, key) not in memo:
-            node, below = low[order].get(key), lower(h, order - 1)
-            if node:
+    def spread(context):
+        if context not in memo:
+            k = len(context)
+            below = spread(context[1:]) if k else np.full(ppm.SYMBOLS, 1 / ppm.SYMBOLS)
+            if node := tries[k].get(context):
                 n, q = sum(node.values()), len(node)
+                e = (new[cell(k, n, q)] + 0.5) / (new[cell(k, n, q)] + known[cell(k, n, q)] + 1)
                 rest = below.copy()
                 rest[list(node)] = 0
-                e = q / (n + q) if rest.sum() else 0
-                below = rest / (rest.sum() or 1) * e
+                below = rest / rest.sum() * e
                 for s, c in node.items():
                     below[s] = c / n * (1 - e)
-            memo[order, key] = below
-        return memo[order, key]
-
-    def code(w):
-        h, out, head = (ppm.END, ppm.END), 0.0, 0.0
-        for k, s in enumerate([*w, ppm.END]):
-            p, node = lower(h, 2), trie.get(w[:k]) if k < ppm.MAX_DEPTH else None
-            if not node:
-                out += math.log10(p[s])
-            else:
-                n, q = sum(node.values()), len(node)
-                e = escape[ppm._escape_class(k, np.array([n]), np.array([q]))[0]]
-                out += math.log10((1 - e) * node[s] / n) if s in node else math.log10(e * p[s] / (1 - p[list(node)].sum()))
-            h = (h[1], s)
-            head = out if k < ppm.PREFIX else head
-        return out, head
+            memo[context] = below
+        return memo[context]
+
+    return spread
 
-    result = []
+
+def naive_scores(rows):
+    """(n_tokens, n_known, N, base, score) by (text, train); plain dictionaries and loops."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    counts = collections.Counter(w for t, train in rows if train for w in tokens(t))
+    total, kinds, spread, result = sum(counts.values()), len(counts), naive_model(rows), []
     for t, _ in rows:
-        words = [*ppm.words_of(t or ""), ppm.TEXT_END]
-        seen, heads, score = collections.Counter(), collections.Counter(), 0.0
-        for i, w in enumerate(words):
-            own, head = code(w)
-            first = ppm.head_of(w)
-            start = (heads[first] + ppm.HEAD_ADAPT * 10**head) / (i + ppm.HEAD_ADAPT)
-            score += math.log10((seen[w] + ppm.WORD_ADAPT * start * 10 ** (own - head)) / (i + ppm.WORD_ADAPT))
-            seen[w] += 1
-            heads[first] += 1
+        words = tokens(t)
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words)
+        x = [ppm.END] * ppm.ORDER + list(b" ".join(words[:-1])) + [ppm.END]
+        score = sum(math.log10(spread(tuple(x[i - ppm.ORDER : i]))[x[i]]) for i in range(ppm.ORDER, len(x)))
         result.append((len(words), sum(counts[w] > 0 for w in words), total, base, score))
     return result
 
 
 def test_ppm_equals_naive(spark, texts, monkeypatch):
-    monkeypatch.setattr(ppm, "RANGE_WORDS", 300)  # many ranges, so that nodes are shared
-    ids = sorted(texts)[:60]
-    rows = [(texts[i], zlib.crc32(str(i).encode()) % 5 != 1) for i in ids] + [("a" * 300 + " ÿÿ z", True), (None, False), ("", True)]
+    monkeypatch.setattr(ppm, "MERGE_KEYS", 3000)
+    ids = sorted(texts, key=lambda i: len(texts[i] or ""))[:60]
+    rows = [(texts[i], zlib.crc32(str(i).encode()) % 5 != 1) for i in ids] + [("a" * 300 + " ÿÿ z", True), (None, False), ("", True), ("word order matters here", True), ("here order matters word", False)]
     df = spark.createDataFrame([(i, t, x, i % 3) for i, (t, x) in enumerate(rows)], "doc_id int, text string, train boolean, block bigint")
     got = {r.doc_id: r for r in ppm.ppm_scores(df).collect()}
     for i, (n_tokens, n_known, total, base, score) in enumerate(naive_scores(rows)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n_tokens, n_known, total, not rows[i][1])
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
-
-
-def test_ppm_codes_are_a_distribution():
-    words = sorted({b"ab", b"abc", b"b", b"a", b"ca"})
-    counts = np.array([3, 1, 4, 1, 2])
-    low = ppm.LowOrders(*ppm.low_counts(words))
-    edge = collections.defaultdict(dict)
-    for p, s, n in ppm.boundary_counts(words, counts):
-        edge[p][s] = n
-    escape = ppm.escape_probabilities(*ppm.range_events(words, counts))
-    step = sorted({bytes([x]) for x in range(256)} | {b""} - {b""})
-    every = sorted({*step, *(b"a" + s for s in step)})
-    code, _ = ppm.trie_log10(every, np.array([dict(zip(words, counts, strict=True)).get(w, 0) for w in every]), low, escape, edge)
-    assert 0 < (10.0**code).sum() < 1
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    assert got[len(rows) - 2].score > got[len(rows) - 1].score  # contexts cross words
+
+
+def test_ppm_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(list(b"abc "), 400)) for _ in range(3)]
+    grams, n = np.unique(ppm.grams_of(texts)[0], return_counts=True)
+    orders = ppm.orders_of(grams, n, ppm.ORDER, ppm.SHARED)
+    short = orders[0].below(ppm.SHARED - 1)
+    low, escape = ppm.fit_low(short.grams, short.n, np.sum([o.events(k) for k, o in enumerate(orders, ppm.SHARED)], axis=0))
+    for context in [*(grams[:: len(grams) // 20] >> np.uint64(8)), np.uint64(0x7A7A7A7A7A), np.uint64(0x617A7A7A7A)]:
+        every = context << np.uint64(8) | np.arange(256, dtype=np.uint64)
+        assert (10.0 ** ppm.log10_of(every, grams, n, low, escape)).sum() == pytest.approx(1)
 
 
 def test_ppm_odd(odd):
