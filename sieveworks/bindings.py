@@ -48,11 +48,16 @@ TREE = """tree AS (SELECT '/r/orig/' || source || '/' || lang || '/' || doc_id |
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, hash: a hash per vector, and for every fifth a copy with two bits flipped."""
+    """path, hash: a hash per vector; copies with two bits flipped (b); of some of these ones four bits further, which are not alike to the first (c); and with one bit (d)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", values.median_bits(F.transform("embedding", lambda x: x.cast("double"))).alias("hash"))
     name = lambda p: F.concat(F.lit(p), F.lpad(F.col("vec_id").cast("string"), 9, "0"))
     flip = F.expr("shiftleft(1L, cast(vec_id % 31 as int)) | shiftleft(1L, cast(vec_id % 29 + 32 as int))")
-    return e.select("vec_id", name("/img/a").alias("path"), "hash").union(e.where("vec_id % 5 = 0").select("vec_id", name("/img/b"), F.col("hash").bitwiseXOR(flip)))
+    far, one = F.expr("shiftleft(1L, 31) | shiftleft(1L, 61) | shiftleft(1L, 62) | shiftleft(1L, 63)"), F.expr("shiftleft(1L, 31)")
+    copies = [("vec_id % 5 = 0", "/img/b", flip), ("vec_id % 15 = 0", "/img/c", flip.bitwiseXOR(far)), ("vec_id % 25 = 0", "/img/d", one)]
+    out = e.select("vec_id", name("/img/a").alias("path"), "hash")
+    for some, p, bits in copies:
+        out = out.union(e.where(some).select("vec_id", name(p), F.col("hash").bitwiseXOR(bits)))
+    return out
 
 
 HASHES = """h0 AS (SELECT vec_id, embedding::DOUBLE[] AS v, (list_sort(embedding::DOUBLE[])[32] + list_sort(embedding::DOUBLE[])[33]) / 2 AS m FROM embeddings),
@@ -60,7 +65,11 @@ h1 AS (SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x >
 hashes AS (SELECT vec_id, '/img/a' || lpad(vec_id::VARCHAR, 9, '0') AS path, hash FROM h1
  UNION ALL SELECT vec_id, '/img/b' || lpad(vec_id::VARCHAR, 9, '0'),
  xor(hash, (repeat('0', (63 - (vec_id % 29 + 32))::INT) || '1' || repeat('0', (vec_id % 29 + 32 - vec_id % 31 - 1)::INT) || '1' || repeat('0', (vec_id % 31)::INT))::BIT)
- FROM h1 WHERE vec_id % 5 = 0)"""
+ FROM h1 WHERE vec_id % 5 = 0
+ UNION ALL SELECT vec_id, '/img/c' || lpad(vec_id::VARCHAR, 9, '0'),
+ xor(xor(hash, (repeat('0', (63 - (vec_id % 29 + 32))::INT) || '1' || repeat('0', (vec_id % 29 + 32 - vec_id % 31 - 1)::INT) || '1' || repeat('0', (vec_id % 31)::INT))::BIT), ('111' || repeat('0', 29) || '1' || repeat('0', 31))::BIT)
+ FROM h1 WHERE vec_id % 15 = 0
+ UNION ALL SELECT vec_id, '/img/d' || lpad(vec_id::VARCHAR, 9, '0'), xor(hash, (repeat('0', 32) || '1' || repeat('0', 31))::BIT) FROM h1 WHERE vec_id % 25 = 0)"""
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,22 @@ def rename_target(kept: Column, named: Column) -> Column:
     """Folder and extension of the kept file, stem of the other."""
     ext = F.regexp_extract(base_name(kept), r"^.+(\.[^.]*)$", 1)
     return F.concat(parent(kept), F.lit("/"), stem(base_name(named)), ext)
+
+
+def requested_prefix(path: Column, resolved: Column, requested: Column) -> Column:
+    """A path below the resolved root as it reads below the root that was asked for."""
+    return F.when(F.startswith(path, resolved), F.concat(requested, F.substr(path, F.length(resolved) + 1))).otherwise(path)
+
+
+def trimmed(path: Column) -> Column:
+    """Without slashes at the end; the root stays."""
+    return F.regexp_replace(path, "(?<=.)/+$", "")
+
+
+def tilde(path: Column, home: Column) -> Column:
+    """~ and what begins with ~/ below home; other users' homes are left alone."""
+    return F.when(path == "~", home).when(F.startswith(path, F.lit("~/")), F.concat(home, F.substr(path, F.lit(2)))).otherwise(path)
+
+
+def is_relative(path: Column) -> Column:
+    return ~F.startswith(path, F.lit("/"))

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 CODEC_EFFICIENCY = {"av1": 3.0, "hevc": 2.0, "vp9": 1.8, "h264": 1.0, "mpeg4": 0.7, "mpeg2video": 0.5}
 UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
 PROBE_ABOVE, PROBE_WINDOW = 8 * 1024 * 1024, 4096
+#: Four-character codes of codecs.
+CODEC_CODES = {
+    "h264": ("avc1", "avc3"),
+    "hevc": ("hvc1", "hev1", "dvh1", "dvhe"),
+    "av1": ("av01",),
+    "vp9": ("vp09",),
+    "mpeg4": ("mp4v",),
+    "mpeg2video": ("m2v1", "mpg2"),
+    "mjpeg": ("jpeg",),
+}
 
 
 def group_key(size: Column, digest: Column) -> Column:
@@ -50,17 +60,58 @@ def dice_possible(a: Column, b: Column, threshold: float) -> Column:
     return (F.least(a, b) > 0) & (F.greatest(a, b) * threshold <= F.least(a, b) * (2 - threshold))
 
 
+def codec_name(codec: Column) -> Column:
+    """Lower case, and four-character codes by the codec they stand for."""
+    low = F.lower(codec)
+    out = low
+    for name, codes in CODEC_CODES.items():
+        out = F.when(low.isin(*codes), name).otherwise(out)
+    return out
+
+
 def codec_known(codec: Column) -> Column:
-    return codec.isin(*CODEC_EFFICIENCY)
+    return codec_name(codec).isin(*CODEC_EFFICIENCY)
 
 
 def codec_efficiency(codec: Column) -> Column:
-    out = F.lit(1.0)
-    for name, value in CODEC_EFFICIENCY.items():
-        out = F.when(codec == name, value).otherwise(out)
+    name, out = codec_name(codec), F.lit(1.0)
+    for known, value in CODEC_EFFICIENCY.items():
+        out = F.when(name == known, value).otherwise(out)
     return out
 
 
+def frame_times(duration: Column, count: int) -> Column:
+    """Seconds at which frames are taken: evenly inside, a tenth apart at least; one apart where the length is unknown.
+
+    Marks past the end of a video of known length are dropped.
+    """
+    known = F.coalesce(duration > 0, F.lit(False))
+    step = F.when(known, F.greatest(duration / (count + 1), F.lit(0.1))).otherwise(1.0)
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: step * i), lambda t: ~known | (t < duration))
+
+
+def instant_of(scan_id: Column) -> Column:
+    """The instant of a scan identifier, null if it is malformed."""
+    return F.when(is_scan_id(scan_id), F.try_to_timestamp(F.concat(F.substring(scan_id, 1, 15), F.lit("."), F.substring(scan_id, 17, 6)), F.lit("yyyyMMdd-HHmmss.SSSSSS")))
+
+
+def whole_second(iso: Column) -> Column:
+    """The instant of an ISO time that ends in Z, without its fraction; null if it is malformed."""
+    return F.when(F.endswith(iso, F.lit("Z")) & (F.length(iso) > 19), F.try_to_timestamp(F.substring(iso, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+
+
+def next_free_id(instant: Column, taken: Column, limit: int = 1000) -> Column:
+    """The first identifier from an instant on, a microsecond apart, that is not in taken; null after limit tries."""
+    tries = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: scan_id(F.timestamp_micros(F.unix_micros(instant) + k)))
+    return F.get(F.filter(tries, lambda x: ~F.array_contains(taken, x)), 0)
+
+
+def thumbnail_pixels(points: Column, scale: Column) -> Column:
+    """Points times scale, up to a multiple of 32, between 32 and 512."""
+    raw = F.ceil(points * F.greatest(F.lit(1.0), scale))
+    return F.least(F.lit(512), F.greatest(F.lit(32), F.floor((raw + 31) / 32) * 32)).cast("int")
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import paths, values
+from .ordering import ranked
 
 ROOT = "/corpus"
 #: The probe threshold is a parameter; the tables hold small files.
@@ -119,6 +120,26 @@ def exact_groups(s, d):
 ORACLE_SQL["exact_groups"] = f"WITH {B.FILES}, {_GROUPS.format('files')} SELECT group_key, size, digest, n AS files, path FROM m"
 
 
+@q("exact_groups_ordered")
+def _(s, d):
+    """Members of groups, the largest size first, then by digest and path."""
+    return ranked(group_members(B.files(s, d)).select("size", "digest", "path"), F.desc("size"), F.asc("digest"), F.asc("path"))
+
+
+ORACLE_SQL["exact_groups_ordered"] = f"WITH {B.FILES}, {_GROUPS.format('files')} SELECT size, digest, path, row_number() OVER (ORDER BY size DESC, digest, path) AS rank FROM m"
+
+
+@q("scan_relative_paths")
+def _(s, d):
+    """Whether a scan's root or any path of its groups is relative; roots of every third source are written without the slash."""
+    m = group_members(B.files(s, d)).select(F.element_at(F.split("path", "/"), 3).alias("scan"), "path")
+    own = m.withColumn("path", F.when(F.pmod(F.octet_length("scan"), F.lit(5)) == 0, F.substr("path", F.lit(2))).otherwise(F.col("path")))
+    return own.groupBy("scan").agg(F.bool_or(paths.is_relative(F.col("path"))).alias("relative"))
+
+
+ORACLE_SQL["scan_relative_paths"] = f"WITH {B.FILES}, {_GROUPS.format('files')} SELECT split_part(path, '/', 3) AS scan, bool_or(strlen(split_part(path, '/', 3)) % 5 = 0) AS relative FROM m GROUP BY 1"
+
+
 @q("digest_codec")
 def _(s, d):
     f = B.files(s, d)
@@ -266,16 +287,30 @@ j AS (SELECT group_key, kept, list_sort(list_intersect(kept, paths)) AS l FROM n
 SELECT group_key, CASE WHEN kept IS NULL THEN 'undecided' WHEN len(kept) = 0 THEN 'discard' WHEN len(l) = 0 THEN 'undecided' ELSE 'keep' END AS state, coalesce(array_to_string(l, '|'), '') AS kept FROM j"""
 
 
+#: Groups from which decisions that cover a whole scan are worth a warning.
+WARN_FROM = 5
+
+
+def provenance(matched: DataFrame) -> DataFrame:
+    """matched, total with cover (none, partial, all) and warn: loaded decisions cover every group of a scan of some size."""
+    none = (F.col("matched") == 0) | (F.col("total") == 0)
+    cover = F.when(none, "none").when(F.col("matched") >= F.col("total"), "all").otherwise("partial")
+    return matched.select("matched", "total", cover.alias("cover"), ((cover == "all") & (F.col("total") >= WARN_FROM)).alias("warn"))
+
+
 @q("decisions_provenance")
 def _(s, d):
+    """All decisions of the scan, and of a second scan that has the decided groups alone."""
     f = B.files(s, d)
-    saved, now = saved_decisions(f).select("group_key"), decided(f).select("group_key", F.lit(1).alias("here"))
-    t = saved.join(now, "group_key", "left").agg(F.count(F.lit(1)).alias("saved"), F.count("here").alias("matched"))
-    return t.select("saved", "matched", F.when(F.col("matched") == 0, "none").when(F.col("matched") < F.col("saved"), "partial").otherwise("all").alias("cover"), (F.col("saved") - F.col("matched") >= 5).alias("warn"))
+    saved, now = saved_decisions(f).select("group_key").withColumn("saved", F.lit(1)), decided(f).select("group_key")
+    t = now.join(saved, "group_key", "left")
+    count = lambda rows, name: provenance(rows.agg(F.count("saved").alias("matched"), F.count(F.lit(1)).alias("total"))).withColumn("scan", F.lit(name))
+    return count(t, "whole").union(count(t.where("saved = 1"), "decided"))
 
 
-ORACLE_SQL["decisions_provenance"] = f"""WITH {B.FILES}, {_GROUPS.format('files')}, {_SAVED}, t AS (SELECT count(*) AS saved, count(g.group_key) AS matched FROM s LEFT JOIN g USING (group_key))
-SELECT saved, matched, CASE WHEN matched = 0 THEN 'none' WHEN matched < saved THEN 'partial' ELSE 'all' END AS cover, saved - matched >= 5 AS warn FROM t"""
+ORACLE_SQL["decisions_provenance"] = f"""WITH {B.FILES}, {_GROUPS.format('files')}, {_SAVED}, t AS (SELECT g.group_key, s.group_key IS NOT NULL AS saved FROM g LEFT JOIN s USING (group_key)),
+n AS (SELECT 'whole' AS scan, count_if(saved)::BIGINT AS matched, count(*) AS total FROM t UNION ALL SELECT 'decided', count_if(saved)::BIGINT, count_if(saved)::BIGINT FROM t)
+SELECT matched, total, CASE WHEN matched = 0 OR total = 0 THEN 'none' WHEN matched >= total THEN 'all' ELSE 'partial' END AS cover, matched > 0 AND matched >= total AND total >= 5 AS warn, scan FROM n"""
 
 
 @q("decisions_explode")

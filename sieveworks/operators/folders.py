@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import values
+from .ordering import ranked
 
 ROOT, THRESHOLD, CLASS_CAP = "/r", 0.9, 512
 QUERIES: dict = {}
@@ -122,6 +123,15 @@ def _(s, d):
 ORACLE_SQL["folder_pairs"] = f"WITH {_PAIRS} SELECT * FROM fp"
 
 
+@q("folder_pairs_ordered")
+def _(s, d):
+    """Pairs, the most alike first, then by their folders."""
+    return ranked(pairs(B.tree(s, d)).select("a", "b", "similarity"), F.desc("similarity"), F.asc("a"), F.asc("b"))
+
+
+ORACLE_SQL["folder_pairs_ordered"] = f"WITH {_PAIRS} SELECT a, b, similarity, row_number() OVER (ORDER BY similarity DESC, a, b) AS rank FROM fp"
+
+
 @q("folder_diff")
 def _(s, d):
     t = B.tree(s, d)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import paths, values
+from .ordering import ranked
 
 #: Names that a walk prunes or skips.
 IGNORED_DIRECTORIES = ("node_modules", ".git", "__pycache__")
@@ -186,16 +190,79 @@ def _(s, d):
 ORACLE_SQL["prunable_sessions"] = f"WITH {_STATE} SELECT session, moved FROM sh WHERE moved > 0 AND restored >= moved"
 
 
-@q("undo_plan")
-def _(s, d):
-    """What stands in the way of taking a move back; an occupant with equal bytes means it is back already."""
-    size, k = F.col("size"), F.octet_length("path") + F.col("scan")
-    why = F.when(F.col("restored"), "already restored").when(k % 7 == 0, "trash missing").when(k % 11 == 0, "size changed").when(k % 13 == 0, "destination occupied").when(k % 17 == 0, "volume missing").otherwise("ready")
-    return journal_state(B.journal(s, d)).groupBy(why.alias("obstacle")).agg(F.count(F.lit(1)).alias("moves"), F.sum(size).alias("bytes"))
+UNDO = "session bigint, seq bigint, step bigint, original string, state string"
+
+
+def plan_undo(entries: DataFrame, environment: DataFrame) -> DataFrame:
+    """session, seq, step, original, state for the moves of each session, in the order in which they would be undone.
+
+    entries: session, seq, mechanism, original, resulting, digest, restored (a later record says so);
+    environment: path, digest, is_directory of what exists now.  Renames come first, the newest first, each planned
+    against the files that the ones before it leave; the others follow in their order, planned against what the
+    renames leave.  state is restore, already restored, or what stands in the way.  A session's steps depend on each
+    other, so a session is one Arrow call; it holds that session's entries and the facts of their paths alone.
+    """
+    above = F.regexp_extract("original", "^(.*)/[^/]*$", 1)
+    named = entries.withColumn("above", above).select("session", F.explode(F.array("original", "resulting", "above")).alias("path")).distinct()
+    facts = named.join(environment, "path").select(F.col("session").alias("of"), "path", "digest", "is_directory")
+
+    def plan(rows: pa.Table, there: pa.Table) -> pa.Table:
+        now = {r["path"]: (r["digest"], r["is_directory"]) for r in there.to_pylist()}
+        ordered = sorted(rows.to_pylist(), key=lambda r: r["seq"])
+        renames, rest = [r for r in reversed(ordered) if r["mechanism"] == "rename"], [r for r in ordered if r["mechanism"] != "rename"]
+        out = []
+        for r in renames + rest:
+            state = _undo_state(r, now)
+            out.append(state)
+            if state == "restore" and r["mechanism"] == "rename":
+                now[r["original"]] = (r["digest"], now.pop(r["resulting"])[1])
+        done = renames + rest
+        return pa.table([pa.array([r["session"] for r in done], pa.int64()), pa.array([r["seq"] for r in done], pa.int64()), pa.array(range(len(done)), pa.int64()), pa.array([r["original"] for r in done], pa.string()), pa.array(out, pa.string())], ["session", "seq", "step", "original", "state"])
+
+    return entries.groupBy("session").cogroup(facts.groupBy("of")).applyInArrow(plan, UNDO)
+
+
+def _undo_state(entry: dict, now: dict) -> str:
+    """now: digest and whether it is a directory, by path."""
+    original, resulting = entry["original"], entry["resulting"]
+    if entry["restored"] and original in now:
+        return "already restored"
+    if original in now and original != resulting:
+        if now[original][1]:
+            return "original is a directory"
+        return "already restored" if now[original][0] == entry["digest"] else "original occupied"
+    if resulting not in now:
+        return "moved file missing"
+    above = original.rpartition("/")[0]
+    if above and above not in now:
+        return "parent missing"
+    if now[resulting][0] is None:
+        return "unverifiable"
+    return "restore" if now[resulting][0] == entry["digest"] else "content changed"
+
+
+def undo_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Moves of a session bound to a customer's orders, and what is there now: every obstacle occurs."""
+    o = B.table(spark, sf_dir, "orders").where("o_custkey % 5 = 0")
+    k = F.col("o_orderkey").cast("string")
+    trash, digest = F.concat(F.lit("/t/"), k), F.concat(F.lit("d"), k)
+    rename = F.col("o_orderkey") % 4 == 1
+    folder = F.concat(F.lit("/c"), (F.col("o_custkey") % 50).cast("string"))
+    # a renamed file took the name of one that went to the trash
+    original = F.when(rename, F.concat(folder, F.lit("/n"), k)).otherwise(F.concat(folder, F.lit("/f"), k))
+    moved = F.when(rename, F.concat(folder, F.lit("/f"), (F.col("o_orderkey") + 1).cast("string"))).otherwise(trash)
+    e = o.select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("seq"), F.when(rename, "rename").otherwise("trash").alias("mechanism"), original.alias("original"), moved.alias("resulting"), digest.alias("digest"), (F.col("o_orderkey") % 10 == 0).alias("restored"))
+    m = F.col("seq")
+    here = e.where(m % 7 != 0).select(F.col("resulting").alias("path"), F.when(m % 11 == 0, "other").when(m % 13 == 0, F.lit(None)).otherwise(F.col("digest")).alias("digest"), F.lit(False).alias("is_directory"))
+    taken = e.where((m % 17 == 0) | (m % 19 == 0) | (m % 20 == 0)).select(F.col("original").alias("path"), F.when(m % 17 == 0, "other").otherwise(F.col("digest")).alias("digest"), (m % 19 == 0).alias("is_directory"))
+    folders = e.select(F.regexp_extract("original", "^(.*)/[^/]*$", 1).alias("path")).distinct().where("path not like '%9'").select("path", F.lit(None).cast("string").alias("digest"), F.lit(True).alias("is_directory"))
+    every = here.union(taken).union(folders)
+    return e, every.groupBy("path").agg(F.min(F.struct("digest", "is_directory")).alias("x")).select("path", "x.*")
 
 
-ORACLE_SQL["undo_plan"] = f"""WITH {_STATE}, k AS (SELECT *, strlen(path) + scan AS k FROM js) SELECT CASE WHEN restored THEN 'already restored' WHEN k % 7 = 0 THEN 'trash missing' WHEN k % 11 = 0 THEN 'size changed'
-WHEN k % 13 = 0 THEN 'destination occupied' WHEN k % 17 = 0 THEN 'volume missing' ELSE 'ready' END AS obstacle, count(*) AS moves, sum(size)::BIGINT AS bytes FROM k GROUP BY 1"""
+@q("undo_plan")
+def _(s, d):
+    return plan_undo(*undo_inputs(s, d))
 
 
 def scans(spark, sf_dir) -> DataFrame:
@@ -210,17 +277,14 @@ SCANS = """scans AS (SELECT o_custkey AS scan, count(*) AS groups, sum(floor(o_t
 
 @q("library_sorted")
 def _(s, d):
-    """The first hundred of the list in each of its four orders, as it is shown."""
+    """The whole list in each of its four orders; scans of equal rank in the order of their identifiers, newest first."""
     f = scans(s, d)
-    orders = {"newest": [F.desc("created"), F.desc("scan")], "oldest": [F.asc("created"), F.desc("scan")], "groups": [F.desc("groups"), F.desc("scan")], "reclaimable": [F.desc("reclaimable"), F.desc("scan")]}
-    out = None
-    for name, by in orders.items():
-        one = f.orderBy(*by).limit(100).select(F.lit(name).alias("order"), "scan", "groups", "reclaimable")
-        out = one if out is None else out.union(one)
-    return out
+    orders = {"newest": F.desc("created"), "oldest": F.asc("created"), "groups": F.desc("groups"), "reclaimable": F.desc("reclaimable")}
+    each = [ranked(f, by, F.desc("scan")).select(F.lit(name).alias("order"), "rank", "scan", "groups", "reclaimable") for name, by in orders.items()]
+    return reduce(DataFrame.union, each)
 
 
-ORACLE_SQL["library_sorted"] = f"WITH {SCANS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS \"order\", scan, groups, reclaimable FROM scans ORDER BY {b}, scan DESC LIMIT 100)" for n, b in (("newest", "created DESC"), ("oldest", "created ASC"), ("groups", "groups DESC"), ("reclaimable", "reclaimable DESC")))
+ORACLE_SQL["library_sorted"] = f"WITH {SCANS} " + " UNION ALL ".join(f"SELECT '{n}' AS \"order\", row_number() OVER (ORDER BY {b}, scan DESC) AS rank, scan, groups, reclaimable FROM scans" for n, b in (("newest", "created DESC"), ("oldest", "created ASC"), ("groups", "groups DESC"), ("reclaimable", "reclaimable DESC")))
 
 
 @q("library_filter")
@@ -332,3 +396,36 @@ def _(s, d):
 
 
 ORACLE_SQL["scan_ids"] = "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S-%f') AS scan_id, CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM events"
+
+
+@q("scan_id_instants")
+def _(s, d):
+    """Identifiers and ISO times read back; every fourth is broken."""
+    e = B.table(s, d, "events")
+    broken = F.col("event_id") % 4 == 0
+    own = F.when(broken, F.concat(values.scan_id(F.col("ts")), F.lit("0"))).otherwise(values.scan_id(F.col("ts")))
+    iso = F.concat(values.iso(F.col("ts")), F.when(broken, "").otherwise("Z"))
+    return e.select("event_id", F.unix_micros(values.instant_of(own)).alias("micros"), F.unix_seconds(values.whole_second(iso)).alias("seconds"))
+
+
+ORACLE_SQL["scan_id_instants"] = "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) END AS micros, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) // 1000000 END AS seconds FROM events"
+
+
+@q("thumbnail_pixels")
+def _(s, d):
+    p = B.table(s, d, "part")
+    return p.select("p_partkey", values.thumbnail_pixels(F.col("p_retailprice") / 7, (F.col("p_partkey") % 4).cast("double") / 2).alias("pixels"))
+
+
+ORACLE_SQL["thumbnail_pixels"] = "SELECT p_partkey, least(512, greatest(32, floor((ceil(p_retailprice / 7 * greatest(1.0, (p_partkey % 4)::DOUBLE / 2)) + 31) / 32) * 32))::INT AS pixels FROM part"
+
+
+@q("requested_paths")
+def _(s, d):
+    """Paths below a resolved root as they were asked for, trimmed, with the home folder written out."""
+    c = B.table(s, d, "customer").select("c_custkey", F.concat(F.element_at(F.array(F.lit("/private/tmp/"), F.lit("~/"), F.lit("/data/")), (F.col("c_custkey") % 3 + 1).cast("int")), "c_name", F.when(F.col("c_custkey") % 2 == 0, "//").otherwise("")).alias("path"))
+    return c.select("c_custkey", paths.tilde(paths.trimmed(paths.requested_prefix(F.col("path"), F.lit("/private/tmp"), F.lit("/tmp"))), F.lit("/home/u")).alias("path"))
+
+
+ORACLE_SQL["requested_paths"] = "SELECT c_custkey, (['/tmp/', '/home/u/', '/data/'])[c_custkey % 3 + 1] || c_name AS path FROM customer"
+

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import paths, values
+from ..storage import stored
 from .components import components
+from .ordering import ranked
 
 DISTANCE, FRAMES, FRAME_SHARE = 5, 8, 0.70
 QUERIES: dict = {}
@@ -38,7 +40,7 @@ def hamming_join(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def similar_pairs(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b, similarity) of files, a before b: equal hashes, and members of classes within distance."""
-    own = hashes.select("path", "hash")
+    own, _ = stored(hashes.select("path", "hash"), "hashes")
     pair = hamming_join(own, distance)
     across = pair.join(own.select(F.col("path").alias("p"), F.col("hash").alias("x")), "x").join(own.select(F.col("path").alias("r"), F.col("hash").alias("y")), "y")
     within = own.select(F.col("path").alias("p"), "hash").join(own.select(F.col("path").alias("r"), "hash"), "hash").where("p < r").select("p", "r", F.lit(0).cast("bigint").alias("distance"))
@@ -68,22 +70,29 @@ def video_pairs(videos: DataFrame, distance: int = DISTANCE, share: float = FRAM
 
 
 def media_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos bound to parts; every eighth pair has equal facts, so that names, and in every sixteenth folders, decide."""
     p = B.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    codec = F.element_at(F.array(*[F.lit(c) for c in ("av1", "hevc", "vp9", "h264", "mpeg4", "mpeg2video", "odd")]), (k % 7 + 1).cast("int"))
-    name = F.concat(F.lit("/lib/v"), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, F.lit(".mp4")).otherwise(F.lit(" (1).mkv")))
+    n = F.floor(k / 2)
+    alike = n % 8 == 0
+    codec = F.element_at(F.array(*[F.lit(c) for c in ("av01", "HVC1", "vp9", "H264", "mp4v", "mpeg2video", "odd")]), (k % 7 + 1).cast("int"))
+    second = F.when(n % 16 == 0, F.concat(F.lit("/lib/deep/v"), n.cast("string"), F.lit("b.mkv"))).otherwise(F.concat(F.lit("/lib/v"), n.cast("string"), F.lit(" (1).mkv")))
+    own = lambda same, c: F.when(alike, F.lit(same)).otherwise(c)
     return p.select(
-        k.alias("k"), name.alias("path"), (F.col("p_size") * 1000 + k % 10).cast("bigint").alias("bytes"), (k % 5 * 320 + 320).cast("bigint").alias("width"), (k % 3 * 240 + 240).cast("bigint").alias("height"),
-        codec.alias("codec"), (F.col("p_size") * 100).cast("bigint").alias("bitrate"), F.when(k % 17 == 0, 30.0).otherwise((k % 4 * 200 + 10).cast("double")).alias("duration"),
+        k.alias("k"), F.when(k % 2 == 0, F.concat(F.lit("/lib/v"), n.cast("string"), F.lit(".mp4"))).otherwise(second).alias("path"), own(5000, F.col("p_size") * 1000 + k % 10).cast("bigint").alias("bytes"),
+        own(640, k % 5 * 320 + 320).cast("bigint").alias("width"), own(480, k % 3 * 240 + 240).cast("bigint").alias("height"), own("h264", codec).alias("codec"), own(100, F.col("p_size") * 100).cast("bigint").alias("bitrate"),
+        own(100.0, F.when(k % 17 == 0, 30.0).when(k % 19 == 0, 0.0).when(k % 13 == 0, 0.5).otherwise((k % 4 * 200 + 10).cast("double"))).alias("duration"),
     )
 
 
-FACTS = """media AS (SELECT p_partkey AS k, '/lib/v' || floor(p_partkey / 2)::BIGINT || CASE p_partkey % 2 WHEN 0 THEN '.mp4' ELSE ' (1).mkv' END AS path, (p_size * 1000 + p_partkey % 10)::BIGINT AS bytes,
- (p_partkey % 5 * 320 + 320)::BIGINT AS width, (p_partkey % 3 * 240 + 240)::BIGINT AS height, (['av1', 'hevc', 'vp9', 'h264', 'mpeg4', 'mpeg2video', 'odd'])[p_partkey % 7 + 1] AS codec,
- (p_size * 100)::BIGINT AS bitrate, CASE WHEN p_partkey % 17 = 0 THEN 30.0 ELSE (p_partkey % 4 * 200 + 10)::DOUBLE END::DOUBLE AS duration FROM part),
-eff AS (SELECT *, CASE codec WHEN 'av1' THEN 3.0 WHEN 'hevc' THEN 2.0 WHEN 'vp9' THEN 1.8 WHEN 'h264' THEN 1.0 WHEN 'mpeg4' THEN 0.7 WHEN 'mpeg2video' THEN 0.5 ELSE 1.0 END::DOUBLE AS e FROM media),
+FACTS = """media AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN '/lib/v' || (p_partkey // 2) || '.mp4' WHEN p_partkey // 2 % 16 = 0 THEN '/lib/deep/v' || (p_partkey // 2) || 'b.mkv' ELSE '/lib/v' || (p_partkey // 2) || ' (1).mkv' END AS path,
+ (CASE WHEN alike THEN 5000 ELSE p_size * 1000 + p_partkey % 10 END)::BIGINT AS bytes, (CASE WHEN alike THEN 640 ELSE p_partkey % 5 * 320 + 320 END)::BIGINT AS width, (CASE WHEN alike THEN 480 ELSE p_partkey % 3 * 240 + 240 END)::BIGINT AS height,
+ CASE WHEN alike THEN 'h264' ELSE (['av01', 'HVC1', 'vp9', 'H264', 'mp4v', 'mpeg2video', 'odd'])[p_partkey % 7 + 1] END AS codec, (CASE WHEN alike THEN 100 ELSE p_size * 100 END)::BIGINT AS bitrate,
+ (CASE WHEN alike THEN 100.0 WHEN p_partkey % 17 = 0 THEN 30.0 WHEN p_partkey % 19 = 0 THEN 0.0 WHEN p_partkey % 13 = 0 THEN 0.5 ELSE (p_partkey % 4 * 200 + 10)::DOUBLE END)::DOUBLE AS duration FROM (SELECT *, p_partkey // 2 % 8 = 0 AS alike FROM part)),
+eff AS (SELECT *, CASE lower(codec) WHEN 'av01' THEN 3.0 WHEN 'hvc1' THEN 2.0 WHEN 'vp9' THEN 1.8 WHEN 'h264' THEN 1.0 WHEN 'mp4v' THEN 0.7 WHEN 'mpeg2video' THEN 0.5 ELSE 1.0 END::DOUBLE AS e FROM media),
 sc AS (SELECT *, bitrate * e * (width * height) AS score, codec <> 'odd' AS known FROM eff),
-pr AS (SELECT a.path AS a, b.path AS b, a.duration AS da, b.duration AS db, a.score AS sa, b.score AS sb, a.width * a.height AS pa, b.width * b.height AS pb, a.bytes AS ba, b.bytes AS bb FROM sc a JOIN sc b ON a.k + 1 = b.k AND a.k % 2 = 0)"""
+pr AS (SELECT a.path AS a, b.path AS b, a.duration AS da, b.duration AS db, a.score AS sa, b.score AS sb, a.width * a.height AS pa, b.width * b.height AS pb, a.bytes AS ba, b.bytes AS bb, a.codec AS ca, b.codec AS cb, a.bitrate AS ra, b.bitrate AS rb,
+ a.k // 2 AS n FROM sc a JOIN sc b ON a.k + 1 = b.k AND a.k % 2 = 0)"""
 
 
 def scored(facts: DataFrame) -> DataFrame:
@@ -93,25 +102,52 @@ def scored(facts: DataFrame) -> DataFrame:
 
 def media_pairs(facts: DataFrame) -> DataFrame:
     f = scored(facts)
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("path", "duration", "score", "pixels", "bytes")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("path", "duration", "score", "pixels", "bytes", "codec", "bitrate")]
     return f.where("k % 2 = 0").select((F.col("k") + 1).alias("k"), *side("a")).join(f.where("k % 2 = 1").select("k", *side("b")), "k")
 
 
+def trailer(short: str, long: str):
+    """Whether the first is a short clip and the second a full length; both lengths must be known."""
+    return (F.col(short) > 0) & (F.col(short) < 60) & (F.col(long) > 300)
+
+
 def advice():
     """keep_a, keep_b or none: a trailer against a full length decides before quality."""
-    a, b = F.col("duration_a"), F.col("duration_b")
-    return F.when((a < 60) & (b > 300), "keep_b").when((b < 60) & (a > 300), "keep_a").when(F.col("score_a") > F.col("score_b"), "keep_a").when(F.col("score_b") > F.col("score_a"), "keep_b").otherwise("none")
+    return F.when(trailer("duration_a", "duration_b"), "keep_b").when(trailer("duration_b", "duration_a"), "keep_a").when(F.col("score_a") > F.col("score_b"), "keep_a").when(F.col("score_b") > F.col("score_a"), "keep_b").otherwise("none")
+
+
+def advice_reasons():
+    """Why the advice keeps what it keeps, seen from the kept side: length alone, or codec, bitrate, resolution and score."""
+    a_wins = F.col("score_a") > F.col("score_b")
+    kept, other = (lambda c: F.when(a_wins, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))), (lambda c: F.when(a_wins, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
+    both = lambda c: (kept(c) > 0) & (other(c) > 0)
+    by = [F.when(kept("codec") != other("codec"), "codec")]
+    for c, name in (("bitrate", "bitrate"), ("pixels", "resolution")):
+        by.append(F.when(both(c) & (kept(c) > other(c)), f"higher {name}").when(both(c) & (kept(c) < other(c)), f"lower {name}"))
+    by.append(F.lit("score"))
+    clip = trailer("duration_a", "duration_b") | trailer("duration_b", "duration_a")
+    return F.when(clip, "length").when(F.col("score_a") == F.col("score_b"), "").otherwise(F.array_join(F.filter(F.array(*by), lambda x: x.isNotNull()), ","))
 
 
-def suggestion():
-    """Advice, pixels, bytes, copy name, depth; a tie keeps the first."""
-    copy = lambda s: paths.is_copy_name(F.col(f"path_{s}"))
-    more = lambda c: F.when(F.col(f"{c}_a") > F.col(f"{c}_b"), "keep_a").when(F.col(f"{c}_b") > F.col(f"{c}_a"), "keep_b")
-    return F.coalesce(F.nullif(advice(), F.lit("none")), more("pixels"), more("bytes"), F.when(copy("b") & ~copy("a"), "keep_a").when(copy("a") & ~copy("b"), "keep_b"), F.lit("keep_a"))
+def score_ratio():
+    """The kept score over the other, null where there is no winner or the other is zero."""
+    high, low = F.greatest("score_a", "score_b"), F.least("score_a", "score_b")
+    return F.when((high > low) & (low > 0), high / low)
+
+
+def suggestion(advised=None, root: str = "/lib"):
+    """Advice, pixels, bytes, copy name, and the deeper path; a tie keeps the first."""
+    side = lambda c, s: F.col(f"{c}_{s}")
+    more = lambda c: F.when(side(c, "a") > side(c, "b"), "keep_a").when(side(c, "b") > side(c, "a"), "keep_b")
+    copy = lambda s: paths.is_copy_name(side("path", s))
+    depth = lambda s: paths.depth_under(side("path", s), F.lit(root))
+    advised = F.nullif(advice(), F.lit("none")) if advised is None else advised
+    return F.coalesce(advised, more("pixels"), more("bytes"), F.when(copy("b") & ~copy("a"), "keep_a").when(copy("a") & ~copy("b"), "keep_b"), F.when(depth("a") >= depth("b"), "keep_a").otherwise("keep_b"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """Pairs with the component of their files: the byte-least path that links reach."""
+    pairs, _ = stored(pairs, "pairs")
     comp = components(pairs.select("a", "b"))
     return pairs.join(comp.select(F.col("id").alias("a"), "component"), "a")
 
@@ -161,6 +197,17 @@ ORACLE_SQL["hamming_lsh_pairs"] = f"""WITH {B.HASHES}, o AS (SELECT hash, min(pa
 SELECT x.path AS a, y.path AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM o x JOIN o y ON x.path < y.path WHERE bit_count(xor(x.hash, y.hash)) <= {DISTANCE}"""
 
 
+@q("hamming_pairs_ordered")
+def _(s, d):
+    """Matches in the order of distance, first and second class."""
+    return ranked(hamming_join(B.hashes(s, d)).select(F.hex("x").alias("x"), F.hex("y").alias("y"), "distance"), F.col("distance"), F.col("x"), F.col("y"))
+
+
+ORACLE_SQL["hamming_pairs_ordered"] = f"""WITH {B.HASHES}, o AS (SELECT DISTINCT hash, hash::VARCHAR AS bits FROM hashes), hx AS (SELECT hash, CASE WHEN bits[1] = '1' THEN '0' ELSE '1' END || substr(bits, 2) AS signed_order, array_to_string(list_transform(range(16), lambda i: substr('0123456789ABCDEF', 1 + 8 * substr(bits, 4 * i + 1, 1)::INT + 4 * substr(bits, 4 * i + 2, 1)::INT + 2 * substr(bits, 4 * i + 3, 1)::INT + substr(bits, 4 * i + 4, 1)::INT, 1)), '') AS h FROM o),
+p AS (SELECT ltrim(x.h, '0') AS x, ltrim(y.h, '0') AS y, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM hx x JOIN hx y ON x.signed_order < y.signed_order WHERE bit_count(xor(x.hash, y.hash)) <= {DISTANCE})
+SELECT *, row_number() OVER (ORDER BY distance, x, y) AS rank FROM p"""
+
+
 @q("hamming_class_pairs")
 def _(s, d):
     return similar_pairs(B.hashes(s, d))
@@ -182,11 +229,11 @@ SELECT * FROM p WHERE similarity >= 0.1"""
 @q("video_sample_timestamps")
 def _(s, d):
     m = media_facts(s, d)
-    at = F.transform(F.sequence(F.lit(1), F.lit(FRAMES)), lambda i: F.greatest(F.col("duration") / (FRAMES + 1), F.lit(0.1)) * i)
-    return m.select("path", F.posexplode(at).alias("frame", "at")).select("path", F.col("frame").cast("bigint").alias("frame"), "at")
+    return m.select("path", F.posexplode(values.frame_times(F.col("duration"), FRAMES)).alias("frame", "at")).select("path", F.col("frame").cast("bigint").alias("frame"), "at")
 
 
-ORACLE_SQL["video_sample_timestamps"] = f"WITH {FACTS}, t AS (SELECT path, duration, unnest(range(1, {FRAMES + 1})) AS i FROM media) SELECT path, i - 1 AS frame, greatest(duration / {FRAMES + 1}, 0.1) * i AS at FROM t"
+ORACLE_SQL["video_sample_timestamps"] = f"""WITH {FACTS}, t AS (SELECT path, duration, unnest(range(1, {FRAMES + 1})) AS i FROM media), u AS (SELECT *, CASE WHEN duration > 0 THEN greatest(duration / {FRAMES + 1}, 0.1) ELSE 1.0 END * i AS "at" FROM t)
+SELECT path, i - 1 AS frame, "at" FROM u WHERE duration <= 0 OR "at" < duration"""
 
 
 @q("similar_components")
@@ -245,14 +292,74 @@ def _(s, d):
 ORACLE_SQL["component_unmatched"] = f"WITH {_COMPD}, {_SIDES} SELECT DISTINCT path FROM sd s WHERE keeps = false AND NOT EXISTS (SELECT 1 FROM sd x JOIN sd y ON x.other = y.path WHERE x.path = s.path AND y.keeps)"
 
 
+def image_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs with their group and suggestion; pixels and bytes are bound to the path, and images get no advice."""
+    number = lambda c: F.substring(c, 7, 9).cast("bigint")
+    side = lambda c: [F.col(c).alias(f"path_{c}"), (F.ascii(F.substring(c, 6, 1)) * 7 % 3).alias(f"pixels_{c}"), ((F.ascii(F.substring(c, 6, 1)) + number(c)) % 2).alias(f"bytes_{c}")]
+    own = groups(pairs).select("component", "a", "b", *side("a"), *side("b"))
+    return stored(own.select("component", "a", "b", suggestion(F.lit(None).cast("string"), "/img").alias("suggestion")), "suggested")[0]
+
+
+_SUGGESTED = _COMP + """, f AS (SELECT sp.a, sp.b, component, ascii(substr(a, 6, 1)) * 7 % 3 AS pa, ascii(substr(b, 6, 1)) * 7 % 3 AS pb, (ascii(substr(a, 6, 1)) + substr(a, 7, 9)::BIGINT) % 2 AS ba, (ascii(substr(b, 6, 1)) + substr(b, 7, 9)::BIGINT) % 2 AS bb FROM sp JOIN comp ON id = a),
+su AS (SELECT component, a, b, CASE WHEN pa <> pb THEN CASE WHEN pa > pb THEN 'keep_a' ELSE 'keep_b' END WHEN bb > ba THEN 'keep_b' ELSE 'keep_a' END AS suggestion FROM f),
+wn AS (SELECT component, path, sum(w)::BIGINT AS wins FROM (SELECT component, a AS path, (suggestion <> 'keep_b')::INT AS w FROM su UNION ALL SELECT component, b, (suggestion = 'keep_b')::INT FROM su) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY wins DESC, path) AS rank FROM wn)"""
+
+
+def ranked_files(pairs: DataFrame) -> DataFrame:
+    """Members of each group (component, a, b, suggestion) by how many suggestions of their pairs keep them; ties in byte order."""
+    row = lambda p, wins: F.struct(F.col(p).alias("path"), wins.cast("int").alias("win"))
+    keeps_b = F.col("suggestion") == "keep_b"
+    won = pairs.select("component", F.explode(F.array(row("a", ~keeps_b), row("b", keeps_b))).alias("x")).groupBy("component", "x.path").agg(F.sum("x.win").alias("wins"))
+    return won.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("wins"), "path")).cast("bigint"))
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """component, path, other, in both directions."""
+    return pairs.select("component", F.col("a").alias("path"), F.col("b").alias("other")).union(pairs.select("component", "b", "a"))
+
+
+def suggested_keep(pairs: DataFrame) -> DataFrame:
+    """component, path: the best member, then each member alike to none of those kept before it.
+
+    Order matters, so one group is one Arrow call; it holds the links of that group.
+    """
+
+    def greedy(rows):
+        near = rows.groupby("path")["other"].agg(set)
+        out: list[str] = []
+        for p in rows.drop_duplicates("path").sort_values("rank")["path"]:
+            if near[p].isdisjoint(out):
+                out.append(p)
+        return rows.iloc[: len(out)][["component"]].assign(path=out)
+
+    return neighbours(pairs).join(ranked_files(pairs), ["component", "path"]).select("component", "path", "other", "rank").groupBy("component").applyInPandas(greedy, "component string, path string")
+
+
+def unmatched(pairs: DataFrame, keep: DataFrame) -> DataFrame:
+    """component, path: members that keep (component, path) would discard with no kept file they were found alike to."""
+    near = neighbours(pairs)
+    safe = near.join(keep.withColumnRenamed("path", "other"), ["component", "other"], "left_semi").select("component", "path")
+    return near.select("component", "path").distinct().join(keep.union(safe).distinct(), ["component", "path"], "left_anti")
+
+
+def confirmed(pairs: DataFrame, keep: DataFrame) -> DataFrame:
+    """component, a, b, decision of the groups that may be confirmed: something is kept, and nobody is discarded unmatched."""
+    keep, _ = stored(keep, "kept")
+    refused = unmatched(pairs, keep).select("component").distinct()
+    may = keep.select("component").distinct().join(refused, "component", "left_anti")
+    kept = lambda c: keep.select("component", F.col("path").alias(c), F.lit(True).alias(f"keeps_{c}"))
+    own = pairs.join(may, "component", "left_semi").join(kept("a"), ["component", "a"], "left").join(kept("b"), ["component", "b"], "left")
+    a, b = F.col("keeps_a").isNotNull(), F.col("keeps_b").isNotNull()
+    return own.select("component", "a", "b", F.when(a & b, "keep_both").when(a, "keep_a").when(b, "keep_b").otherwise("keep_none").alias("decision"))
+
+
 @q("component_rank")
 def _(s, d):
-    sd = sides(groups(decided_pairs(similar_pairs(B.hashes(s, d)))))
-    wins = sd.groupBy("component", "path").agg(F.sum(F.coalesce(F.col("keeps").cast("int"), F.lit(0))).alias("wins"))
-    return wins.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("wins"), "path")).cast("bigint"))
+    return ranked_files(image_pairs(similar_pairs(B.hashes(s, d))))
 
 
-ORACLE_SQL["component_rank"] = f"WITH {_COMPD}, {_SIDES}, w AS (SELECT component, path, sum(coalesce(keeps::INT, 0))::BIGINT AS wins FROM sd GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY component ORDER BY wins DESC, path) AS rank FROM w"
+ORACLE_SQL["component_rank"] = f"WITH {_SUGGESTED} SELECT * FROM rk"
 
 
 @q("component_state")
@@ -269,32 +376,39 @@ g AS (SELECT component, sum(open) AS open, count_if(k IS NOT NULL) AS n_some, bo
 SELECT component, CASE WHEN n_some = 0 THEN 'undecided' WHEN open > 0 OR coalesce(clash, false) THEN 'mixed' ELSE 'decided' END AS state FROM g"""
 
 
+_KEPT = _SUGGESTED + """, nb AS (SELECT a AS path, b AS other FROM su UNION ALL SELECT b, a FROM su),
+walk(component, k, kept) AS (SELECT DISTINCT component, 0::BIGINT, []::VARCHAR[] FROM rk UNION ALL
+ SELECT w.component, w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM nb WHERE nb.path = rk.path AND list_contains(w.kept, nb.other)) THEN w.kept ELSE list_append(w.kept, rk.path) END FROM walk w JOIN rk ON rk.component = w.component AND rk.rank = w.k + 1),
+sk AS (SELECT component, unnest(kept) AS path FROM (SELECT component, arg_max(kept, k) AS kept FROM walk GROUP BY component))"""
+
+
 @q("component_confirm")
 def _(s, d):
-    """Decisions that confirming each group's least file writes to its links."""
-    g = groups(similar_pairs(B.hashes(s, d)))
-    ka, kb = F.col("a") == F.col("component"), F.col("b") == F.col("component")
-    return g.select("component", "a", "b", F.when(ka & kb, "keep_both").when(ka, "keep_a").when(kb, "keep_b").otherwise("keep_none").alias("decision"))
+    """Decisions that confirming each group's suggested files writes to its links."""
+    p = image_pairs(similar_pairs(B.hashes(s, d)))
+    return confirmed(p, suggested_keep(p))
+
+
+ORACLE_SQL["component_confirm"] = f"""WITH {_KEPT} SELECT component, a, b, CASE WHEN a IN (SELECT path FROM sk) AND b IN (SELECT path FROM sk) THEN 'keep_both' WHEN a IN (SELECT path FROM sk) THEN 'keep_a'
+WHEN b IN (SELECT path FROM sk) THEN 'keep_b' ELSE 'keep_none' END AS decision FROM su"""
+
+
+@q("component_confirm_refused")
+def _(s, d):
+    """Members that stand in the way of keeping each group's least file alone."""
+    p = image_pairs(similar_pairs(B.hashes(s, d)))
+    return unmatched(p, p.select("component", F.col("component").alias("path")).distinct())
 
 
-ORACLE_SQL["component_confirm"] = f"WITH {_COMP} SELECT component, a, b, CASE WHEN a = component THEN 'keep_a' WHEN b = component THEN 'keep_b' ELSE 'keep_none' END AS decision FROM sp JOIN comp ON id = a"
+ORACLE_SQL["component_confirm_refused"] = f"""WITH {_SUGGESTED} SELECT component, path FROM rk WHERE path <> component AND NOT EXISTS (SELECT 1 FROM su WHERE (a = path AND b = rk.component) OR (b = path AND a = rk.component))"""
 
 
 @q("component_suggested_keep")
 def _(s, d):
-    """Greedy maximal independent set in rank order, group by group: order matters, so one Arrow call per group."""
-    sd = sides(groups(decided_pairs(similar_pairs(B.hashes(s, d))))).withColumn("win", F.coalesce(F.col("keeps").cast("int"), F.lit(0)))
+    return suggested_keep(image_pairs(similar_pairs(B.hashes(s, d))))
 
-    def greedy(rows):
-        wins = rows.groupby("path")["win"].sum()
-        near = rows.groupby("path")["other"].agg(set)
-        out: list[str] = []
-        for p in sorted(wins.index, key=lambda x: (-wins[x], x.encode())):
-            if not near[p].intersection(out):
-                out.append(p)
-        return rows.iloc[: len(out)][["component"]].assign(path=out)
 
-    return sd.select("component", "path", "other", "win").groupBy("component").applyInPandas(greedy, "component string, path string")
+ORACLE_SQL["component_suggested_keep"] = f"WITH {_KEPT} SELECT component, path FROM sk"
 
 
 @q("pair_suggestion")
@@ -302,18 +416,20 @@ def _(s, d):
     return media_pairs(media_facts(s, d)).select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), suggestion().alias("suggestion"))
 
 
-_ADVICE = "CASE WHEN da < 60 AND db > 300 THEN 'keep_b' WHEN db < 60 AND da > 300 THEN 'keep_a' WHEN sa > sb THEN 'keep_a' WHEN sb > sa THEN 'keep_b' ELSE 'none' END"
+_ADVICE = "CASE WHEN da > 0 AND da < 60 AND db > 300 THEN 'keep_b' WHEN db > 0 AND db < 60 AND da > 300 THEN 'keep_a' WHEN sa > sb THEN 'keep_a' WHEN sb > sa THEN 'keep_b' ELSE 'none' END"
 ORACLE_SQL["pair_suggestion"] = f"""WITH {FACTS} SELECT a, b, coalesce(nullif({_ADVICE}, 'none'), CASE WHEN pa > pb THEN 'keep_a' WHEN pb > pa THEN 'keep_b' END,
-CASE WHEN ba > bb THEN 'keep_a' WHEN bb > ba THEN 'keep_b' END, 'keep_a') AS suggestion FROM pr"""
+CASE WHEN ba > bb THEN 'keep_a' WHEN bb > ba THEN 'keep_b' END, CASE WHEN n % 16 <> 0 THEN 'keep_a' ELSE 'keep_b' END) AS suggestion FROM pr"""
 
 
 @q("media_advice")
 def _(s, d):
-    reasons = F.array_join(F.filter(F.array(F.when(F.greatest("duration_a", "duration_b") > 300, "length"), F.when(F.col("pixels_a") != F.col("pixels_b"), "pixels"), F.when(F.col("score_a") != F.col("score_b"), "score")), lambda x: x.isNotNull()), ",")
-    return media_pairs(media_facts(s, d)).select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), advice().alias("advice"), reasons.alias("reasons"))
+    return media_pairs(media_facts(s, d)).select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), advice().alias("advice"), advice_reasons().alias("reasons"), score_ratio().alias("ratio"))
 
 
-ORACLE_SQL["media_advice"] = f"""WITH {FACTS} SELECT a, b, {_ADVICE} AS advice, array_to_string(list_filter([CASE WHEN greatest(da, db) > 300 THEN 'length' END, CASE WHEN pa <> pb THEN 'pixels' END, CASE WHEN sa <> sb THEN 'score' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pr"""
+ORACLE_SQL["media_advice"] = f"""WITH {FACTS}, w AS (SELECT *, {_ADVICE} AS advice, sa > sb AS wins FROM pr), k AS (SELECT *, CASE WHEN wins THEN ra ELSE rb END AS kr, CASE WHEN wins THEN rb ELSE ra END AS lr, CASE WHEN wins THEN pa ELSE pb END AS kp, CASE WHEN wins THEN pb ELSE pa END AS lp FROM w)
+SELECT a, b, advice, CASE WHEN (da > 0 AND da < 60 AND db > 300) OR (db > 0 AND db < 60 AND da > 300) THEN 'length' WHEN sa = sb THEN '' ELSE concat_ws(',', CASE WHEN ca <> cb THEN 'codec' END,
+CASE WHEN kr > lr THEN 'higher bitrate' WHEN kr < lr THEN 'lower bitrate' END, CASE WHEN kp > lp THEN 'higher resolution' WHEN kp < lp THEN 'lower resolution' END, 'score') END AS reasons,
+CASE WHEN sa <> sb AND least(sa, sb) > 0 THEN greatest(sa, sb) / least(sa, sb) END AS ratio FROM k"""
 
 
 @q("codec_score")
@@ -405,20 +521,41 @@ def _(s, d):
     return p.select("kept", paths.rename_target(F.col("kept"), F.col("named")).alias("target")).where("target <> kept")
 
 
-ORACLE_SQL["rename_targets"] = f"WITH {FACTS} SELECT a AS kept, '/lib/' || regexp_replace(b, '^/lib/(.+)\\.[^.]*$', '\\1') || '.mp4' AS target FROM pr WHERE a <> '/lib/' || regexp_replace(b, '^/lib/(.+)\\.[^.]*$', '\\1') || '.mp4'"
+_TARGET = "'/lib/' || regexp_replace(b, '^/lib/(?:deep/)?(.+)\\.[^.]*$', '\\1') || '.mp4'"
+ORACLE_SQL["rename_targets"] = f"WITH {FACTS} SELECT a AS kept, {_TARGET} AS target FROM pr WHERE a <> {_TARGET}"
+
+
+TRIES = 1000
+
+
+def free_names(arrivals: DataFrame, present: DataFrame, order: list[str]) -> DataFrame:
+    """arrivals (name, ...) with unique_name: their own name, or the first of -2, -3, ... before the extension that is free.
+
+    A name is taken if it is present (name), if an earlier arrival got it, or if another arrival comes by it.  Null when
+    TRIES names are taken.  Only numbers up to TRIES are gathered for a name, so no list is longer.
+    """
+    cut = r"^(.+)-([0-9]{1,4})((?:\.[^.]*)?)$"
+    taken = present.select("name").union(arrivals.select("name")).distinct()
+    number = F.regexp_extract("name", cut, 2)
+    numbered = taken.where(F.col("name").rlike(cut) & ~F.startswith(number, F.lit("0"))).select(F.concat(F.regexp_extract("name", cut, 1), F.regexp_extract("name", cut, 3)).alias("name"), number.cast("int").alias("k")).where(f"k between 2 and {TRIES}")
+    used = numbered.union(present.select("name", F.lit(1))).groupBy("name").agg(F.collect_set("k").alias("used"))
+    free = F.array_except(F.sequence(F.lit(1), F.lit(TRIES)), F.coalesce("used", F.array().cast("array<int>")))
+    k = F.row_number().over(Window.partitionBy("name").orderBy(*order))
+    ext = F.regexp_extract("name", r"^.+(\.[^.]*)$", 1)
+    own = arrivals.withColumn("__k", k).join(used, "name", "left").withColumn("__n", F.get(free, F.col("__k") - 1))
+    return own.withColumn("unique_name", F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat(paths.stem(F.col("name")), F.lit("-"), F.col("__n").cast("string"), ext))).drop("__k", "__n", "used")
 
 
 @q("collision_names")
 def _(s, d):
-    """Names in arrival order; later ones get -2, -3 and so on before the extension."""
     c = B.table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("t"), (F.col("conv_id") % 50).cast("string"), F.lit("-"), "role", F.lit(".txt")).alias("name"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("conv_id", "turn"))
-    own = F.when(k == 1, F.col("name")).otherwise(F.concat(paths.stem(F.col("name")), F.lit("-"), k.cast("string"), F.lit(".txt")))
-    return c.select("conv_id", "turn", own.alias("unique_name"))
+    there = B.table(s, d, "nation").select(F.explode(F.array(F.concat(F.lit("t"), F.col("n_nationkey").cast("string"), F.lit("-user.txt")), F.concat(F.lit("t"), F.col("n_nationkey").cast("string"), F.lit("-user-3.txt")))).alias("name"))
+    return free_names(c, there, ["conv_id", "turn"]).select("conv_id", "turn", "unique_name")
 
 
-ORACLE_SQL["collision_names"] = """WITH c AS (SELECT conv_id, turn, 't' || (conv_id % 50)::VARCHAR || '-' || role AS stem FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY conv_id, turn) AS k FROM c)
-SELECT conv_id, turn, stem || CASE WHEN k = 1 THEN '' ELSE '-' || k::VARCHAR END || '.txt' AS unique_name FROM k"""
+ORACLE_SQL["collision_names"] = f"""WITH c AS (SELECT conv_id, turn, 't' || (conv_id % 50)::VARCHAR || '-' || role AS stem FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY conv_id, turn) AS k FROM c),
+j AS (SELECT *, stem IN (SELECT 't' || n_nationkey || '-user' FROM nation) AS there FROM k), f AS (SELECT *, CASE WHEN NOT there THEN k WHEN k = 1 THEN 2 ELSE k + 2 END AS n FROM j)
+SELECT conv_id, turn, stem || CASE WHEN n = 1 THEN '' ELSE '-' || n::VARCHAR END || '.txt' AS unique_name FROM f"""
 
 
 @q("verify_pairs")

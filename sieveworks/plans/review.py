@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import bindings as B
@@ -89,12 +89,27 @@ def _plan_fingerprint(s, d):
     return fingerprint(removals(B.storage(s, d)), "exact")
 
 
-def _apply_simulation(s, d):
-    from ..operators.exact import removals
+def apply_outcomes(steps: DataFrame, plan: str = "plan", seq: str = "seq") -> DataFrame:
+    """steps (plan, seq, outcome) with batch and reached, by the rules of simulate(), for every plan at once.
+
+    Runs of failures are counted by windows: a success begins a new run, a refusal neither counts nor ends one.
+    """
+    order = Window.partitionBy(plan).orderBy(seq)
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    run = steps.withColumn("__run", F.count_if(F.col("outcome") == "moved").over(sofar))
+    long = Window.partitionBy(plan, "__run").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stops = run.withColumn("__stop", F.count_if(F.col("outcome") == "failed").over(long) >= STOP_AFTER)
+    stopped = F.coalesce(F.bool_or("__stop").over(before), F.lit(False))
+    return stops.withColumns({"batch": F.floor((F.row_number().over(order) - 1) / BATCH).cast("bigint"), "reached": ~stopped}).drop("__run", "__stop")
 
-    p = removals(B.storage(s, d))
-    state = F.when(F.octet_length("path") % 9 == 0, "refused").when(F.octet_length("path") % 7 == 0, "failed").otherwise("moved")
-    return p.groupBy(state.alias("outcome")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+def _apply_simulation(s, d):
+    """Plans bound to users, their events as steps; steps of every eleventh user fail for long."""
+    e = B.table(s, d, "events")
+    state = F.when(F.col("event_id") % 9 == 0, "refused").when((F.col("event_id") % 7 == 0) | (F.col("user_id") % 11 == 0), "failed").otherwise("moved")
+    steps = e.select(F.col("user_id").alias("plan"), F.col("event_id").alias("seq"), state.alias("outcome"))
+    return apply_outcomes(steps).groupBy("plan", "batch").agg(F.count_if("reached").alias("reached"), *[F.count_if(F.col("reached") & (F.col("outcome") == k)).alias(k) for k in ("moved", "failed", "refused")])
 
 
 def _phash_pipeline(s, d):
@@ -106,7 +121,8 @@ def _phash_pipeline(s, d):
 
 
 QUERIES |= {"review_reduce": _review_reduce, "plan_fingerprint": _plan_fingerprint, "apply_simulation": _apply_simulation, "phash_pipeline": _phash_pipeline}
-from ..operators.exact import _GROUPS, _REMOVALS  # noqa: E402
 
-ORACLE_SQL["apply_simulation"] = f"""WITH {B.STORAGE}, {_GROUPS.format('storage')}, {_REMOVALS} SELECT CASE WHEN strlen(path) % 9 = 0 THEN 'refused' WHEN strlen(path) % 7 = 0 THEN 'failed' ELSE 'moved' END AS outcome,
-count(*) AS files, sum(size)::BIGINT AS bytes FROM x GROUP BY 1"""
+ORACLE_SQL["apply_simulation"] = f"""WITH x AS (SELECT user_id AS plan, event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'refused' WHEN event_id % 7 = 0 OR user_id % 11 = 0 THEN 'failed' ELSE 'moved' END AS outcome FROM events),
+r AS (SELECT *, count_if(outcome = 'moved') OVER (PARTITION BY plan ORDER BY seq) AS run, row_number() OVER (PARTITION BY plan ORDER BY seq) - 1 AS k FROM x), f AS (SELECT *, count_if(outcome = 'failed') OVER (PARTITION BY plan, run ORDER BY seq) AS row FROM r),
+e AS (SELECT plan, min(seq) AS last FROM f WHERE row >= {STOP_AFTER} GROUP BY plan), z AS (SELECT f.*, coalesce(seq <= last, true) AS reached FROM f LEFT JOIN e USING (plan))
+SELECT plan, (k // {BATCH})::BIGINT AS batch, count_if(reached)::BIGINT AS reached, count_if(reached AND outcome = 'moved')::BIGINT AS moved, count_if(reached AND outcome = 'failed')::BIGINT AS failed, count_if(reached AND outcome = 'refused')::BIGINT AS refused FROM z GROUP BY 1, 2"""

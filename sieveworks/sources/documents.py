@@ -1,6 +1,6 @@
 """Saved documents: scans, decisions, renames, journals.
 
-Analytics read them with fixed schemas.  Where int and float, key order or duplicate keys matter,
+Analytics read them with fixed schemas.  Where int and float, key order or repeated keys matter,
 the strict parser reads one document on the driver.
 """
 

@@ -135,3 +135,58 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("k int, v int, seq int").json(str(tmp_path / "in"))
     streams.upsert(stream, str(tmp_path / "out"), ["k"], "seq", str(tmp_path / "ck")).awaitTermination()
     assert [(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 3)]
+
+
+def test_ranked_numbers_all_rows(spark):
+    from sieveworks.operators.ordering import ranked
+
+    df = spark.range(500).select((F.col("id") % 7).alias("x"), "id").repartition(5)
+    got = [(r["rank"], r.x, r.id) for r in ranked(df, F.desc("x"), F.asc("id")).orderBy("rank").collect()]
+    assert got == [(k + 1, x, i) for k, (x, i) in enumerate(sorted(((i % 7, i) for i in range(500)), key=lambda r: (-r[0], r[1])))]
+
+
+def test_apply_outcomes_equal_the_simulation(spark):
+    rng = np.random.default_rng(5)
+    rows = [(p, k, str(rng.choice(["failed", "refused", "moved"], p=[0.9, 0.08, 0.02]))) for p in range(6) for k in range(90)]
+    got = review.apply_outcomes(spark.createDataFrame(rows, "plan int, seq int, outcome string")).orderBy("plan", "seq").collect()
+    stopped = 0
+    for p in range(6):
+        done, stop = review.simulate([o for q, _, o in rows if q == p])
+        stopped += stop
+        assert [(r.batch, r.outcome) for r in got if r.plan == p and r.reached] == done
+    assert stopped
+
+
+def test_undo_plan(spark):
+    from sieveworks.operators.library import plan_undo
+
+    entries = [
+        (1, 1, "trash", "/a/f", "/t/f", "df", False), (1, 2, "rename", "/a/n", "/a/f", "dn", False),  # the rename took the trashed file's name
+        (1, 3, "trash", "/a/g", "/t/g", "dg", True), (1, 4, "trash", "/a/h", "/t/h", "dh", False), (1, 5, "trash", "/a/i", "/t/i", "di", False), (1, 6, "trash", "/x/j", "/t/j", "dj", False),
+        (1, 7, "trash", "/a/k", "/t/k", "dk", False), (1, 8, "trash", "/a/l", "/t/l", "dl", False), (1, 9, "trash", "/a/m", "/t/m", "dm", False), (1, 10, "trash", "/a/o", "/t/o", "do", False),
+        (2, 1, "rename", "/a/q", "/a/r", "dq", False), (2, 2, "rename", "/a/p", "/a/q", "dp", False),
+    ]
+    there = [("/a", None, True), ("/t/f", "df", False), ("/a/f", "dn", False), ("/a/g", "dg", False), ("/a/h", "dh", False), ("/a/i", "other", False), ("/t/j", "dj", False), ("/t/l", None, False), ("/t/m", "edited", False), ("/a/o", None, True), ("/a/q", "dp", False), ("/a/r", "dq", False)]
+    e = spark.createDataFrame(entries, "session bigint, seq bigint, mechanism string, original string, resulting string, digest string, restored boolean")
+    got = {(r.session, r.seq): (r.step, r.state) for r in plan_undo(e, spark.createDataFrame(there, "path string, digest string, is_directory boolean")).collect()}
+    assert got[1, 2] == (0, "restore") and got[1, 1] == (1, "restore")
+    states = ["already restored", "already restored", "original occupied", "parent missing", "moved file missing", "unverifiable", "content changed", "original is a directory"]
+    assert [got[1, k][1] for k in range(3, 11)] == states
+    assert got[2, 2] == (0, "restore") and got[2, 1] == (1, "restore")  # the newest first frees the older one's name
+
+
+def test_free_names(spark):
+    arrivals = [(1, "a.txt"), (2, "a.txt"), (3, "a.txt"), (4, "b"), (5, "b"), (6, "b-2"), (7, ".x"), (8, ".x"), (9, "c.txt")]
+    df = spark.createDataFrame(arrivals, "k int, name string")
+    there = spark.createDataFrame([("a-2.txt",), ("c.txt",), ("c-2.txt",)], "name string")
+    got = {r.k: r.unique_name for r in similar.free_names(df, there, ["k"]).collect()}
+    assert got == {1: "a.txt", 2: "a-3.txt", 3: "a-4.txt", 4: "b", 5: "b-3", 6: "b-2", 7: ".x", 8: ".x-2", 9: "c-3.txt"}
+
+
+def test_next_free_id_and_codecs(spark):
+    at = F.to_timestamp(F.lit("2024-01-31 23:59:59.999999"))
+    taken = F.array(F.lit("20240131-235959-999999"))
+    assert one(spark, values.next_free_id(at, taken)) == "20240201-000000-000000"
+    assert one(spark, values.next_free_id(at, taken, limit=1)) is None
+    assert one(spark, values.codec_name(F.lit("HEV1"))) == "hevc" and one(spark, values.codec_efficiency(F.lit("Av01"))) == 3.0
+    assert one(spark, paths.tilde(F.lit("~x/a"), F.lit("/h"))) == "~x/a" and one(spark, paths.trimmed(F.lit("//"))) == "/"
