@@ -6,7 +6,10 @@ value is ranked among the values of its format, the rank goes through a keyed Fe
 of that many numbers (cycle walking keeps it inside), and the result is written in the same format:
 separators, case, length, country prefix and check digits stay right.  The permutation depends on
 the key and the kind alone, so equal values get equal pseudonyms in all documents, however they are
-punctuated, and the holder of the key can undo them.  Anything that does not validate stays.
+punctuated, and the holder of the key can undo them.  Dates are permuted as days whatever their form, those up to
+the twelfth of a month among themselves; telephone numbers without their country code, which is told by
+its digits.  Secrets are hexadecimal, or letters, digits, _ and - with a digit and a letter, after a name for one.
+Anything that does not validate stays.
 Dates are year, month, day with - or /, also before the time of an ISO timestamp, and day, month, year
 or month, day, year with -, / or full stops (there the day first).  Dates with the names of months, with
 years of two digits or without separators are not sought.
@@ -26,29 +29,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import strings
+
 ROUNDS, KEY = 8, b"an example key; pass your own"
 KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
+_CASED = {c: _LOWER for c in _LOWER} | {c: _LOWER.upper() for c in _LOWER.upper()} | {c: "0123456789" for c in "0123456789"}
 _ALPHABETS = {c: _LOWER for c in _LOWER} | {c: "0123456789" for c in "0123456789"}
 
 _NUMBERS = re.compile(
     r"""
-      (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-    | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:?\d{2})|(?!\w|[./-]\d))|(?:\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)))
-    | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d))
-    | (?P<phone>(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4} | \+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,3})(?!\w|[.-]\d)
-        | (?<![\w(])\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w|-\d) | (?<![\w-])\d{3}-\d{3}-\d{4}(?!\w|-\d))
-    | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?!\w|-\d))
-    | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
+      (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+    | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9]{2}:?[0-9]{2})|(?!\w|[./-][0-9]))|(?:[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\w|[./-][0-9])))
+    | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-[0-9]))
+    | (?P<phone>(?<![\w+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4} | \+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,3})(?!\w|[.-][0-9])
+        | (?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?!\w|-[0-9]) | (?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?!\w|-[0-9]))
+    | (?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?!\w|-[0-9]))
+    | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
     | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))
+    | (?P<token>(?<![\w-])(?=[\w-]*[0-9])(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{16,128}(?![\w-]))
     """,
     re.VERBOSE,
 )
 _NAMED = re.compile(r"(?i:token|secret|key|password|passwd|credential)s?[\"']?\s*[=:]\s*[\"']?$")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile("[0-9]")
+#: Country codes of two digits; 1 and 7 have one digit, all others three.
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
 class Pseudonyms:
@@ -119,12 +128,13 @@ class Pseudonyms:
         return "".join(c.upper() if o.isupper() else c for c, o in zip(lower, f"{local}@{host}", strict=True)) + dot + top
 
     def _phone(self, value: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        keep = head.end() if head else 2 if value[0] == "+" else 0
-        own = "".join(re.findall(r"\d", value[keep:]))
-        if not 6 <= len(own) <= 14:
+        own = "".join(re.findall("[0-9]", value))
+        keep = 0
+        if value[0] == "+":
+            keep = 1 if own[0] in "17" else 2 if own[:2] in _TWO_DIGITS else 3
+        if not 6 <= len(own) - keep <= 14:
             return None
-        return value[:keep] + _refill(value[keep:], self.digits(own, "phone"))
+        return _refill(value, own[:keep] + self.digits(own[keep:], "phone"))
 
     def _card(self, value: str) -> str | None:
         own = re.sub(r"\D", "", value)
@@ -154,11 +164,12 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-        # a form tells month from day or not; within it the written date must be read back alike
+        # days up to the twelfth stay among themselves: then any form is read back as the same date
+        late = date.fromordinal(at).day > 12
         while True:
-            at = self.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{int(either)}{int(swapped)}") + FIRST_DAY
+            at = self.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date") + FIRST_DAY
             new = date.fromordinal(at)
-            if not swapped or new.day > 12:
+            if (new.day > 12) == late:
                 break
         day, month = (new.month, new.day) if swapped else (new.day, new.month)
         wide = all(len(x) == 2 for x in parts if len(x) < 4)
@@ -177,6 +188,8 @@ class Pseudonyms:
         return _refill(value, own[:2] + f"{98 - _mod97(body + own[:2] + '00'):02d}" + body, r"\w")
 
     def _secret(self, value: str) -> str | None:
+        if not re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value):
+            return self.string(value, _CASED.get, "token")
         alphabet = "0123456789ABCDEF" if re.search("[A-F]", value) else "0123456789abcdef"
         return self.string(value, lambda c: alphabet, "secret")
 
@@ -195,8 +208,8 @@ class Pseudonyms:
             for m in _NUMBERS.finditer(text):
                 while near[1] <= m.start() and near[2]:
                     near = next(taken)
-                if m.end() <= near[0] and (m.lastgroup != "secret" and not m.group("secret") or _NAMED.search(text, max(0, m.start() - 40), m.start())):
-                    spans.append((*m.span(), next(k for k in KINDS[1:] if m.group(k))))
+                if m.end() <= near[0] and (not (m.group("secret") or m.group("token")) or _NAMED.search(text, max(0, m.start() - 40), m.start())):
+                    spans.append((*m.span(), next((k for k in KINDS[1:] if m.group(k)), "secret")))
         if not spans:
             return text, counts
         out, end = [], 0
@@ -238,7 +251,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", inve
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
             texts, counts = [], []
-            for text in batch.column(i).to_pylist():
+            for text in strings(batch.column(i)):
                 new, n = (None, dict.fromkeys(KINDS, 0)) if text is None else own.replace(text)
                 texts.append(new)
                 counts.append([sum(n.values()), *n.values()])

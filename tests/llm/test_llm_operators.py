@@ -365,6 +365,23 @@ def test_pseudonyms_are_permutations(n):
     assert sorted(out) == list(range(n)) and [back.permute(y, n, "t") for y in out] == list(range(n))
 
 
+def test_equal_values_stay_linked_in_any_form():
+    p = pii.Pseudonyms()
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    one, two, three = (p.replace(t)[0] for t in ("+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958"))
+    assert digits(one) == digits(two) == digits(three) != "442079460958" and one.startswith("+44 ")
+    y, m, d = p.replace("2024-02-29")[0].split("-")
+    assert [p.replace(t)[0] for t in ("29/02/2024", "02/29/2024", "29.02.2024", "2024/02/29")] == [f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{y}/{m}/{d}"]
+    text, n = p.replace('api_key = "sk_live_51Habc9XYZ123" and internationalization2')
+    assert n["secret"] == 1 and "51Habc9XYZ123" not in text and text.endswith("internationalization2") and pii.Pseudonyms(inverse=True).replace(text)[0].startswith('api_key = "sk_live_51Habc9XYZ123"')
+
+
+def test_bytes_that_are_no_utf8(spark):
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(X'61FF62' as string)").alias("text"))
+    assert [r.text for r in pii.pseudonymise(rows).collect()] == ["a\ufffdb"]
+    assert bpe.encode_documents(rows).count() == minhash_dedup.near_duplicates(rows).count() == 1
+
+
 def test_pseudonyms_odd(odd):
     out = pii.pseudonymise(odd)
     assert out.columns == [*odd.columns, "n_pii", *(f"n_{k}" for k in pii.KINDS)]
