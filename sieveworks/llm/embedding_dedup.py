@@ -178,3 +178,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
+reach(n, m) AS (SELECT a, a FROM links UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.m = l.a),
+c AS (SELECT n, min(m) AS component FROM reach GROUP BY n), k AS (SELECT a, count(*) AS links FROM links GROUP BY a)
+SELECT vec_id, coalesce(k.links, 0)::BIGINT AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(c.component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON n = vec_id LEFT JOIN k ON a = vec_id"""

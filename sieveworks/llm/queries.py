@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .embedding_dedup import ORACLE as EMBEDDING_DEDUP_SQL
 from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op9_exact_dedup
@@ -28,4 +29,4 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL = {"op4_raked_mixing": mixing_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
+ORACLE_SQL = {"op4_raked_mixing": mixing_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL, "op10_embedding_dedup": EMBEDDING_DEDUP_SQL}

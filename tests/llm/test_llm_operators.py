@@ -53,7 +53,8 @@ def texts(docs):
 
 def test_sql_of_queries(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, SF)
         found = con.execute(sql)
