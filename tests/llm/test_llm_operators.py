@@ -119,6 +119,23 @@ def test_edit_alike_equals_levenshtein():
         assert line_dedup.edit_alike(a, b) == (edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9))
 
 
+def test_quick_alignment_never_claims_too_few_edits():
+    rng = np.random.default_rng(3)
+    said = 0
+    for _ in range(400):
+        a = "".join(rng.choice(list("abc de"), rng.integers(1, 90)))
+        b = list(a)
+        for _ in range(rng.integers(0, 10)):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 3))] = list(rng.choice(list("abcz"), rng.integers(0, 3)))
+        b = "".join(b)
+        most = len(a) // 8
+        found = line_dedup._quickly_aligned(a, b, most)
+        said += found
+        assert not found or edit_distance(a, b) <= most
+    assert said > 100
+
+
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(7)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"], 18)) for _ in range(4)]
