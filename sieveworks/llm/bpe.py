@@ -36,7 +36,7 @@ from .batches import codepoints, slices, starts_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
-WINDOW, CUT_BITS, REUSE_CHARS = 16, 10, 16_000_000
+WINDOW, CUT_BITS, REUSE_CHARS = 16, 10, 4_000_000
 
 _break = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _last_break = re.compile(r".*\S(?=[ \t\r\n])", re.DOTALL)
