@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import exact, folders, library, similar
+from .operators import caching, exact, folders, library, similar
 from .plans import review
 
-_MODULES = (exact, folders, similar, library, review)
+_MODULES = (exact, folders, similar, library, caching, review)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

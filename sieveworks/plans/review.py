@@ -1,4 +1,4 @@
-"""Review reducer, plan fingerprint and simulated application.  Nothing here moves or deletes a file."""
+"""Review reducer, plan fingerprint and simulated application.  Nothing in this module moves or deletes a file."""
 
 from __future__ import annotations
 

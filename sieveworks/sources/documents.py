@@ -10,9 +10,10 @@ import json
 import math
 import os
 import tempfile
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXACT_SCAN = "scan_id STRING, root STRING, created_at STRING, groups ARRAY<STRUCT<size: BIGINT, sha256: STRING, files: ARRAY<STRING>>>"
@@ -23,6 +24,7 @@ SIMILAR_SCAN = """scan_id STRING, root STRING, created_at STRING, img_threshold
 JOURNAL_LINE = """format_version INT, original_path STRING, resulting_path STRING, mechanism STRING, size BIGINT, sha256 STRING, group_key STRING,
  scan_id STRING, timestamp STRING, undone_at STRING, _corrupt STRING"""
 MEDIA_TYPES = ("image", "video")
+MECHANISMS = ("trash", "quarantine", "rename")
 
 
 def read_exact_scans(spark: SparkSession, path: str) -> DataFrame:
@@ -60,14 +62,22 @@ def read_renames(document: dict) -> list[str]:
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entries that are not undone, and malformed lines with file and place, counted in bytes of order."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    parsed = lines.withColumn("j", F.from_json("value", JOURNAL_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = (F.col("j").isNull() | F.col("j._corrupt").isNotNull() | F.col("j.original_path").isNull()) & (F.trim("value") != "")
-    good = parsed.where(~bad & (F.trim("value") != "")).select("at", "j.*")
-    undone = good.where(F.col("undone_at").isNotNull()).groupBy("original_path").agg(F.max("at").alias("__undone"))
-    moves = good.where(F.col("undone_at").isNull()).join(undone, "original_path", "left").where(F.col("__undone").isNull() | (F.col("__undone") < F.col("at")))
-    return moves.drop("__undone", "undone_at", "_corrupt"), parsed.where(bad).select("at", "value")
+    """Entries that no record of the same file takes back, and malformed lines, with file and line number from 1.
+
+    A line is malformed if it is no JSON, lacks a field of an entry, names another mechanism, has a digest that
+    is not 32 bytes in hexadecimal or is of a later format.  A file is one session and is read as a whole.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    lines = files.where(F.trim("value") != "").withColumn("line", F.col("at") + 1).withColumn("j", F.from_json("value", JOURNAL_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    whole = F.col("j").isNotNull() & F.col("j._corrupt").isNull()
+    undone = F.coalesce(whole & (F.col("j.undone_at") != "") & F.col("j.original_path").isNotNull(), F.lit(False))
+    needed = [F.col(f"j.{c}").isNotNull() for c in ("original_path", "resulting_path", "size", "group_key", "scan_id", "timestamp")]
+    sound = F.col("j.mechanism").isin(*MECHANISMS) & F.col("j.sha256").rlike("^[0-9A-Fa-f]{64}$") & (F.coalesce("j.format_version", F.lit(1)) == 1)
+    entry = F.coalesce(reduce(Column.__and__, needed, whole & sound), F.lit(False))
+    told = lines.withColumns({"__undone": undone, "__entry": entry})
+    back = told.where("__undone").select("file", F.col("j.original_path").alias("original_path")).distinct()
+    moves = told.where("__entry and not __undone").select("file", "line", "j.*").drop("undone_at", "_corrupt").join(back, ["file", "original_path"], "left_anti")
+    return moves, told.where("not __entry and not __undone").select("file", "line", "value")
 
 
 def groups_as_json(members: DataFrame) -> DataFrame:

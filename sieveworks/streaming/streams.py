@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.library import journal_state
 from ..sources.documents import JOURNAL_LINE
@@ -40,3 +44,62 @@ def upsert(stream: DataFrame, table: str, keys: list[str], order: str, checkpoin
         last.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Watcher:
+    """Keeps a query over a folder running when the folder is replaced or the query fails.
+
+    start() makes a query that goes on from its checkpoint, so files that were seen stay seen.
+    """
+
+    def __init__(self, folder: str, start: Callable[[], StreamingQuery]):
+        self.folder, self._start, self.restarts = folder, start, 0
+        self._seen, self.query = self._identity(), start()
+
+    def _identity(self) -> tuple[int, int] | None:
+        try:
+            found = os.stat(self.folder)
+        except FileNotFoundError:
+            return None
+        return found.st_dev, found.st_ino
+
+    def check(self) -> bool:
+        """Open the folder anew if another one has its name or the query failed; whether it did. A folder that is gone is waited for."""
+        now = self._identity()
+        if now is None or (now == self._seen and (self.query.isActive or self.query.exception() is None)):
+            return False
+        self.query.stop()
+        self._seen, self.query = now, self._start()
+        self.restarts += 1
+        return True
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+class Progress(StreamingQueryListener):
+    """Counts of all queries, kept for whoever asks; add it with spark.streams.addListener."""
+
+    def __init__(self) -> None:
+        self._lock, self._told = threading.Lock(), {"started": 0, "ended": 0, "batches": 0, "rows": 0}
+
+    def _add(self, **more: int) -> None:
+        with self._lock:
+            for k, n in more.items():
+                self._told[k] += n
+
+    def snapshot(self) -> dict[str, int]:
+        with self._lock:
+            return dict(self._told)
+
+    def onQueryStarted(self, event) -> None:
+        self._add(started=1)
+
+    def onQueryProgress(self, event) -> None:
+        self._add(batches=1, rows=event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._add(ended=1)

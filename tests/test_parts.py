@@ -1,7 +1,9 @@
 """Expressions, documents, walks, streams and the perceptual hash."""
 
+import hashlib
 import json
 import os
+import time
 
 import numpy as np
 import pytest
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from sieveworks.functions import paths, phash, values
 from sieveworks.operators import folders, similar
 from sieveworks.operators.components import components
-from sieveworks.plans import review
-from sieveworks.sources import documents, walk
+from sieveworks.plans import gate, review
+from sieveworks.sources import caches, documents, walk
+from sieveworks.sources.state import PresenceSnapshots, StateFolder
 from sieveworks.streaming import streams
 
 
@@ -90,12 +93,134 @@ def test_documents(spark, tmp_path):
     assert documents.dump_document({"a": "\x7f"}) == '{\n  "a": "\\u007f"\n}\n'
 
 
+def moved(path, **other):
+    return {"original_path": path, "resulting_path": f"/t{path}", "mechanism": "trash", "size": 1, "sha256": "0a" * 32, "group_key": "g", "scan_id": "s", "timestamp": "t", **other}
+
+
 def test_journal(spark, tmp_path):
-    lines = [{"original_path": "/a", "size": 1}, {"original_path": "/b", "size": 2}, {"original_path": "/a", "undone_at": "t"}]
-    (tmp_path / "j").write_text("\n".join([*map(json.dumps, lines), "not json", ""]))
-    good, bad = documents.read_journal(spark, str(tmp_path / "j"))
-    assert [r.original_path for r in good.collect()] == ["/b"]
-    assert [r.value for r in bad.collect()] == ["not json"]
+    lines = [moved("/a"), moved("/b"), {"original_path": "/a", "undone_at": "t"}, moved("/c", mechanism="burn"), moved("/d", sha256="0a"), moved("/e", format_version=2), {"original_path": "/f"}]
+    (tmp_path / "j1").write_text("\n".join([*map(json.dumps, lines), "not json", "", '{"original_path": "/to']))
+    (tmp_path / "j2").write_text(json.dumps(moved("/a")) + "\n")
+    good, bad = documents.read_journal(spark, str(tmp_path / "j*"))
+    assert sorted((r.file[-2:], r.line, r.original_path) for r in good.collect()) == [("j1", 2, "/b"), ("j2", 1, "/a")]
+    assert sorted(r.line for r in bad.collect()) == [4, 5, 6, 7, 8, 10]
+
+
+def test_state_folder(spark, tmp_path):
+    one_id, other = "20240131-235959-999999", "20240201-000000-000000"
+    assert StateFolder({"XDG_STATE_HOME": ""}, "/h/").root == "/h/.local/state/sieveworks"
+    assert StateFolder({"XDG_STATE_HOME": "~/s"}, "/h").root == "/h/s/sieveworks"
+    assert not StateFolder({"XDG_STATE_HOME": "~x"}, "/h").is_absolute
+    own = StateFolder({"XDG_STATE_HOME": str(tmp_path)}, "/h")
+    for bad in ("../../etc/passwd", "", one_id + "\n"):
+        with pytest.raises(ValueError):
+            own.file("scans", bad)
+    own.save("similar-scans", one_id, {"pairs": []})
+    own.save("similar-scans", other, {"pairs": []})
+    own.save("similar-decisions", one_id, {"a|b": "keep_both"})
+    own.save_renames(one_id, ["/x"])
+    assert own.load("similar-renames", one_id) == {"format_version": 1, "name_from": ["/x"]}
+    own.save_renames(other, [])
+    assert own.load("similar-renames", other) is None and own.ids("similar-scans") == [other, one_id]
+    assert own.delete_scan("similar-scans", one_id) and not own.delete_scan("similar-scans", one_id)
+    assert own.ids("similar-scans") == [other] and own.ids("similar-renames") == [] == own.ids("similar-decisions")
+    own.check_journal(one_id)
+    assert own.ids("journal") == []
+    assert own.append_journal(one_id, []) == 0 and own.append_journal(one_id, [moved("/a"), moved("/b")]) == 2
+    own.append_restored(one_id, "/a", "t")
+    good, bad = documents.read_journal(spark, own.file("journal", one_id))
+    assert [(r.line, r.original_path) for r in good.collect()] == [(2, "/b")] and bad.isEmpty() and own.ids("journal") == [one_id]
+
+
+def test_presence_snapshots(tmp_path):
+    own, one_id = PresenceSnapshots(str(tmp_path)), "20240131-235959-999999"
+    assert own.load(one_id) is None and not own.forget(one_id) and own.load("../x") is None
+    first = open(own.save(one_id, "t", {"b": True, "a": False})).read()
+    assert first == open(own.save(one_id, "t", {"a": False, "b": True})).read() and own.load(one_id) == ("t", {"a": False, "b": True})
+    (tmp_path / f"{one_id}.json").write_text("[]")
+    assert own.load(one_id) is None and own.forget(one_id)
+
+
+def test_caches(spark, tmp_path):
+    salt, path = caches.pipeline_salt(32, 1), str(tmp_path / "c")
+    assert salt != caches.pipeline_salt(32, 2) and caches.pipeline_salt() == "cbf29ce484222325"
+    of = lambda *rows: spark.createDataFrame(rows, caches.PERCEPTUAL_ROW)
+    row = lambda inode, hashes, n, s=salt: (1, inode, 5, 7, 0, "image", hashes, s, n)
+    caches.append(of(row(2, [1], 1), row(1, [1], 2), row(3, [], 3), row(4, [1], 4, "other"), row(None, [1], 5)), None, path)
+    known = caches.perceptual_hashes(spark.read.schema(caches.PERCEPTUAL_ROW).parquet(path), salt)
+    caches.append(of(row(1, [1], 6), row(2, [9], 7), row(3, [3], 8)), known, path)
+    assert spark.read.parquet(path).count() == 7  # the row that says nothing new is not written
+    caches.compact(spark, path, caches.PERCEPTUAL_ROW, salt)
+    assert [(r.inode, r.hashes) for r in spark.read.parquet(path).coalesce(1).collect()] == [(1, [1]), (2, [9]), (3, [3])]
+    assert os.listdir(tmp_path) == ["c"]
+    files = spark.createDataFrame([(1, 1, 5, 7, 0, "image"), (1, 1, 5, 7, 0, "video"), (None, 1, 5, 7, 0, "image")], "volume bigint, inode bigint, size bigint, mtime_ns bigint, generation bigint, kind string")
+    assert sorted((r.volume or 0, r.kind, r.hashes) for r in caches.probe_hashes(files, spark.read.parquet(path)).collect()) == [(0, "image", None), (1, "image", [1]), (1, "video", None)]
+
+
+def test_dry_run_gate():
+    flow = gate.DryRunGate()
+    assert flow.advance("dry run", "f") is None and flow.advance("apply") is None
+    flow.edited(True)
+    with pytest.raises(PermissionError):
+        flow.authorise("f")
+    assert flow.advance("dry run", "f") == "dry run done"
+    flow.authorise("f")
+    with pytest.raises(PermissionError):
+        flow.authorise("g")
+    flow.edited(True)
+    assert not flow.allows("apply")
+    flow.advance("dry run", "f")
+    assert flow.advance("apply") == "scanned" and flow.advance("rescan") == "scanned" and not flow.has_decisions
+
+
+def test_disposers(tmp_path):
+    def broken(path):
+        raise gate.DisposalError("failed", path)
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text(folder)
+    put = gate.fallback(broken, gate.quarantine(str(tmp_path / "q"), "s"))
+    a, b = (str(tmp_path / k / "x.txt") for k in "ab")
+    assert put(a) == (a, str(tmp_path / "q/s/x.txt"), "quarantine", 1) and not os.path.exists(a)
+    want = hashlib.sha256(b"b").hexdigest()
+    for expected, path, kind in (({}, b, "content changed"), ({b: "0"}, b, "content changed"), ({a: want}, a, "missing")):
+        with pytest.raises(gate.DisposalError) as e:
+            gate.verifying(put, expected)(path)
+        assert e.value.kind == kind
+    assert gate.verifying(put, {b: want})(b)[1] == str(tmp_path / "q/s/x-2.txt")
+    assert gate.free_name("/x", lambda p: True) is None
+
+
+def test_watcher_opens_a_replaced_folder(spark, tmp_path):
+    seen, told, into = [], streams.Progress(), tmp_path / "in"
+
+    def start():
+        rows = spark.readStream.schema("k int").json(str(into))
+        return rows.writeStream.foreachBatch(lambda b, n: seen.extend(r.k for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+
+    into.mkdir()
+    (into / "a.json").write_text('{"k": 1}')
+    spark.streams.addListener(told)
+    watcher = streams.Watcher(str(into), start)
+    try:
+        watcher.query.processAllAvailable()
+        assert not watcher.check()
+        into.rename(tmp_path / "old")
+        assert not watcher.check()
+        into.mkdir()
+        (into / "b.json").write_text('{"k": 2}')
+        assert watcher.check() and watcher.restarts == 1
+        watcher.query.processAllAvailable()
+    finally:
+        watcher.stop()
+    assert seen == [1, 2]
+    for _ in range(100):
+        if told.snapshot()["ended"] == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(told)
+    assert told.snapshot() | {"batches": 0} == {"started": 2, "ended": 2, "batches": 0, "rows": 2}
 
 
 def test_walk(spark, tmp_path):
