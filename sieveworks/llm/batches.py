@@ -1,4 +1,4 @@
-"""Walking Arrow batches in slices of bounded text."""
+"""Arrow batches of bounded bytes, walked in slices of bounded text."""
 
 from __future__ import annotations
 
@@ -6,9 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Characters that a vectorised step holds at a time, unless one text alone is longer.
 SLICE_CHARS = 250_000
+#: Bytes of an Arrow batch, unless one row alone is larger, where the session has Spark's default, which lets one worker hold ten thousand texts.
+BATCH_BYTES = 4 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes; the bound stays set in the session, another one that is set already is left."""
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, _DEFAULT) == _DEFAULT:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

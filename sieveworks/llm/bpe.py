@@ -32,7 +32,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .batches import codepoints, slices, starts_of, texts_of
+from .batches import codepoints, map_batches, slices, starts_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns = [names.slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), run, schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

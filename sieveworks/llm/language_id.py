@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import codepoints, slices, starts_of, texts_of
+from .batches import codepoints, map_batches, slices, starts_of, texts_of
 
 ORDER = 4
 SAMPLE_CHARS = 800_000
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: KneserNey | None, text_col: str = "text", p
                 yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns), *found], [*batch.schema.names, *added])
 
     schema = docs.limit(0).withColumns(dict(zip(added, (F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(True)), strict=True))).schema
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

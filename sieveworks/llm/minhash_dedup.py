@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import mixed, slices, starts_of, texts_of, word_hashes
+from .batches import map_batches, mixed, slices, starts_of, texts_of, word_hashes
 from .common import maybe_in, stored
 from .linking import link_blocks
 
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "row", "n", "d1", "d2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), _lists([s.view(np.int64) for s in shingle_sets(texts[a:b], width)])], ["id", "data"])
 
-    return docs.mapInArrow(run, "id bigint, data array<bigint>")
+    return map_batches(docs, run, "id bigint, data array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

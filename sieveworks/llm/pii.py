@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import strings
+from .batches import map_batches, strings
 
 ROUNDS, KEY = 8, b"an example key; pass your own"
 KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret")
@@ -260,7 +260,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", inve
             columns += [pa.array([c[k] for c in counts], pa.int32()) for k in range(len(added))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import mixed, slices, starts_of, strings, texts_of, word_hashes
+from .batches import map_batches, mixed, slices, starts_of, strings, texts_of, word_hashes
 from .common import stored
 
 #: Bytes of the longest context; of those that a part has in common.
@@ -233,7 +233,7 @@ def _asked(docs: DataFrame, parts: int) -> DataFrame:
         for block in list(held):
             yield flush(block)
 
-    return docs.select("block", "train", "text").mapInArrow(run, "block bigint, part int, keys binary, counts binary")
+    return map_batches(docs.select("block", "train", "text"), run, "block bigint, part int, keys binary, counts binary")
 
 
 def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", block_col: str = "block") -> DataFrame:
