@@ -119,6 +119,23 @@ def test_edit_alike_equals_levenshtein():
         assert line_dedup.edit_alike(a, b) == (edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9))
 
 
+def test_edits_within_equals_edit_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = [], []
+    for k in range(1200):
+        a = "".join(rng.choice(list("abcde fg漢\U0001f600"), rng.integers(0, (40, 200, 700)[k % 3])))
+        b = list(a)
+        for _ in range(rng.integers(0, len(a) // 8 + 2)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 3))] = list(rng.choice(list("abcz"), rng.integers(0, 3)))
+        left, right = [*left, a], [*right, "".join(b)]
+    want = [line_dedup.edit_alike(a, b) for a, b in zip(left, right)]
+    assert 200 < sum(want) < 1000
+    for few in (0, 16):  # with 0, all are compared together
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        assert line_dedup.edits_within(left, right).tolist() == want
+
+
 def test_quick_alignment_never_claims_too_few_edits():
     rng = np.random.default_rng(3)
     said = 0
