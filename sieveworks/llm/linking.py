@@ -84,14 +84,25 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     two = few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in extra])
     pairs = table(one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & condition).select("a", "b").distinct(), "pairs")
     found = grown(table(verify(pairs), "verified"))
-    left = table(live.join(keys.where(F.col("rest") > small).select("key"), "key").select("key", "id"), "left")
-    live, keys = unfinished(left)
+
+    def still_open(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """left (id, keys) without the keys that are done, and whether an id is outside the largest component of a key; a row per id, whatever the number of its keys."""
+        live = table(left.join(found, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("comp")).coalesce(parts), "live")
+        each = live.select("id", "comp", F.explode("keys").alias("key"))
+        tally = each.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        kinds = tally.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
+        keys = table(kinds.where("kinds > 1").select("key", "major").coalesce(parts), "open")
+        active = each.join(keys, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.bool_or(F.col("comp") != F.col("major")).alias("minor"))
+        return table(active.coalesce(parts), "active"), keys
+
+    left = table(live.join(keys.where(F.col("rest") > small).select("key"), "key").groupBy("id").agg(F.collect_list("key").alias("keys")).coalesce(parts), "left")
+    active, keys = still_open(left)
     if keys.isEmpty():
         return found
 
-    left = table(live.join(keys.select("key"), "key").select("key", "id"), "left")
-    low = table(left.groupBy("key").agg(F.min("id").alias("b")), "least")
-    blocks = table(components(left.join(low, "key").where("id <> b").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "block"), "blocks")
+    member = active.select("id", F.explode("keys").alias("key"))
+    low = table(member.groupBy("key").agg(F.min("id").alias("b")), "least")
+    blocks = table(components(member.join(low, "key").where("id <> b").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "block"), "blocks")
     body = table(payload(blocks.select("id")).join(blocks, "id"), "bodies")
     bulk = F.sum("size")
     cuts = body.groupBy("block").agg(
@@ -112,7 +123,6 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
     turn, before = 0, len(tables)
     while True:
         turn += 1
-        active = table(live.join(keys, "key").groupBy("id").agg(F.bool_or(F.col("comp") != F.col("major")).alias("minor")).coalesce(parts), "active")
         own = active.where("minor").join(blocks, "id").join(cuts, "block").groupBy("block", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("most")).alias("slot")).agg(F.min("id").alias("id"))
         own = table(own.select("id").coalesce(parts), "pivots")
         placed = body.join(cuts.select("block", "tiles"), "block")
@@ -121,11 +131,11 @@ def link_blocks(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pa
         new = table(here.union(sent).groupBy("block", "tile").applyInArrow(compare, "a bigint, b bigint"), "verified")
         if not new.isEmpty():
             found = grown(new)
-        left = table(live.join(keys.select("key"), "key").select("key", "id").join(own, "id", "left_anti"), "left")
-        live, keys = unfinished(left)
+        left = table(active.join(own, "id", "left_anti").select("id", "keys"), "left")
+        active, keys = still_open(left)
         if keys.isEmpty():
             return found
         for old in tables[before:]:
-            if old is not live and old is not keys:
+            if old is not active:
                 remove(spark, at[id(old)])
-        tables[before:] = [live, keys]
+        tables[before:] = [active]

@@ -247,6 +247,22 @@ def test_minhash_small_tiles(spark, monkeypatch):
     assert got == near_brute_force(rows, 4)
 
 
+def test_rounds_keep_a_row_for_an_id(spark, monkeypatch):
+    seen, store = [], linking.stored
+
+    def counted(df, what):
+        out = store(df, what)
+        if what == "left":
+            seen.append((out[0].count(), out[0].select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(linking, "stored", counted)
+    own = linking.link_blocks
+    monkeypatch.setattr(minhash_dedup, "link_blocks", lambda *a, **b: own(*a, **b, small=2, tile=16, pivots=64))
+    minhash_dedup.near_duplicates(spark.createDataFrame(near_copies(), "doc_id bigint, text string"), width=4)
+    assert seen and all(rows == ids for rows, ids in seen)
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for j in (0.8, 0.9, 0.97):
