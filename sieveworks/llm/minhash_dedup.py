@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # the least row of each set brings its text; sets of one d1, should there be two, are told apart by d2
     found = sets_of_rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes, _ = stored(found.withColumn("id", F.xxhash64("d1", "d2")), "classes")
-    members = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
+    members = classes.select("id", F.array_distinct("bands").alias("keys"))
     sketches = classes.select("id", "n", "sketch")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -143,16 +143,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         own = some.join(heads, (F.col("doc_id") == F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))).select("id", "text")
         return stored(full_sets(own, width).groupBy("id").agg(F.first("data").alias("data")), "sets")[0]
 
-    def close(pivots: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def close(pivots: pa.Array, others: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links that connect all linked sets, as places in the two lists joined."""
         size = np.concatenate([x.value_lengths().to_numpy() for x in (pivots, others)]).astype(np.int64)
         every = np.concatenate([x.flatten().to_numpy() for x in (pivots, others)]).view(np.uint64)
         owner, starts = np.repeat(np.arange(len(size)), size), starts_of(size)
-        label = np.arange(len(size))
+        label, place = label.copy(), np.arange(len(size))
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in range(len(pivots)):
             own = every[starts[i] : starts[i + 1]]
-            may = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            may = (place > i) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if not may.any():
                 continue
             at = np.flatnonzero(may[owner])

@@ -263,6 +263,35 @@ def test_rounds_keep_a_row_for_an_id(spark, monkeypatch):
     assert seen and all(rows == ids for rows, ids in seen)
 
 
+def test_buckets_of_common_keys(spark):
+    """Keys that most rows have, at both ends of the range, and keys of one row; small batches and several parts."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [-1, 0, *map(int, rng.integers(-(2**63), 2**63, 3)), *([int(rng.integers(5)) + 7] if i % 2 else [])]) for i in range(-20, 300)]
+    rows.append((1000, []))
+    df = spark.createDataFrame(rows, "id bigint, keys array<bigint>").repartition(3)
+    count = collections.Counter(k for _, keys in rows for k in keys)
+    want = sorted((k, i) for i, keys in rows for k in keys if count[k] > 1)
+    for parts in (None, 1, 5):
+        assert sorted(map(tuple, linking.buckets(df, parts).collect())) == want
+    assert linking.buckets(df.limit(0)).count() == 0
+
+
+def test_large_buckets_take_one_turn(spark, monkeypatch):
+    """Keys of the members of open buckets are unpacked once, not once in each round of a few pivots."""
+    seen, store = collections.Counter(), linking.stored
+
+    def counted(df, what):
+        seen[what] += 1
+        return store(df, what)
+
+    monkeypatch.setattr(linking, "stored", counted)
+    own = linking.link_blocks
+    monkeypatch.setattr(minhash_dedup, "link_blocks", lambda *a, **b: own(*a, **b, small=2, tile=16, pivots=4))
+    rows = near_copies()
+    got = {r[0]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()}
+    assert got == near_brute_force(rows, 4) and seen["active"] == 1
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for j in (0.8, 0.9, 0.97):
