@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import zlib
 
 import duckdb
@@ -73,6 +74,14 @@ def test_bitmap_lets_all_keys_through(spark):
     assert maybe_in(rows, "k", some.limit(0), "k").count() == 0
 
 
+def test_bitmap_flags_the_keys_alone(spark):
+    from sieveworks.llm.common import in_bitmap
+
+    keys = spark.createDataFrame([(k,) for k in (*range(0, 70_000, 7), *range(64))], "k bigint")
+    found = in_bitmap(spark.range(70_000), "id", keys, "k", "flag").where("flag").toPandas()["id"]
+    assert sorted(found) == sorted({*range(0, 70_000, 7), *range(64)})
+
+
 # 1 line dedup
 
 
@@ -136,6 +145,36 @@ def test_edits_within_equals_edit_alike(monkeypatch):
         assert line_dedup.edits_within(left, right).tolist() == want
 
 
+def test_banded_distance_equals_levenshtein(monkeypatch):
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    monkeypatch.setattr(line_dedup, "_quickly_aligned", lambda *_: False)
+    monkeypatch.setattr(line_dedup, "_grams_allow", lambda *_: True)
+    some = random.Random(5)
+    for _ in range(2000):
+        a = "".join(some.choice("abc") for _ in range(some.randint(0, 30)))
+        b = "".join(some.choice(("", x, x, x, x + "c", "b")) for x in a)
+        edit = some.choice((0.9, 0.8, 0.5, 0.2))
+        assert line_dedup.edit_alike(a, b, edit) == (levenshtein(a, b) <= int(max(len(a), len(b)) * (1 - edit) + 1e-9)), (a, b, edit)
+
+
+def test_few_edits_near_each_other_need_no_alignment(monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    for name in ("_quickly_aligned", "_grams_allow", "_in_band"):
+        monkeypatch.setattr(line_dedup, name, never)
+    text = " ".join(f"word{i}" for i in range(900))
+    assert line_dedup.edits_within([text] * 3, [text.replace("word450", "other"), text.replace("word0", ""), text]).tolist() == [True] * 3
+
+
 def test_quick_alignment_never_claims_too_few_edits():
     rng = np.random.default_rng(3)
     said = 0
