@@ -32,7 +32,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .batches import codepoints, map_batches, slices, starts_of, texts_of
+from .batches import codepoints, held, map_batches, slices, starts_of, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
@@ -40,7 +40,6 @@ WINDOW, CUT_BITS, REUSE_CHARS = 16, 10, 4_000_000
 
 _break = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _last_break = re.compile(r".*\S(?=[ \t\r\n])", re.DOTALL)
-_workers: dict[tuple, Encoder] = {}
 
 
 def cut_points(lengths: list[int], text: str) -> list[np.ndarray]:
@@ -144,11 +143,11 @@ class Encoder:
 
 
 def encoder(ranks: str = RANKS, special: dict[str, int] = SPECIAL) -> Encoder:
-    """This worker's encoder; it stays for later tasks."""
-    key = (ranks, *special.items())
-    if key not in _workers:
-        _workers[key] = Encoder(ranks, special)
-    return _workers[key]
+    """This worker's encoder; it stays for later tasks of the operator."""
+    key, kept = (ranks, *special.items()), held("bpe")
+    if key not in kept:
+        kept[key] = Encoder(ranks, special)
+    return kept[key]
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, special: dict[str, int] = SPECIAL, with_ids: bool = False) -> DataFrame:
@@ -173,7 +172,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns = [names.slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), run, schema)
+    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), run, schema, "bpe")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -630,6 +630,16 @@ def test_bpe_reuses_chunks():
     assert coder.encoded_chars - once < 0.2 * once
 
 
+def test_bpe_leaves_workers_to_other_operators():
+    from sieveworks.llm import batches
+
+    coder = bpe.encoder()
+    batches.release("bpe")
+    assert bpe.encoder() is coder
+    batches.release()
+    assert not batches.held("bpe") and bpe.encoder() is not coder
+
+
 def test_bpe_odd(odd):
     got = {r.doc_id: r for r in bpe.encode_documents(odd, with_ids=True).collect()}
     none = hashlib.sha256(b"").hexdigest()
