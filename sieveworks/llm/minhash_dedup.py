@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         own = some.join(heads, (F.col("doc_id") == F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))).select("id", "text")
         return stored(full_sets(own, width).groupBy("id").agg(F.first("data").alias("data")), "sets")[0]
 
-    def close(pivots: pa.Array, others: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def close(pivots: pa.Array, others: pa.Array, label: np.ndarray, among: bool) -> tuple[np.ndarray, np.ndarray]:
         """Links that connect all linked sets, as places in the two lists joined."""
         size = np.concatenate([x.value_lengths().to_numpy() for x in (pivots, others)]).astype(np.int64)
         every = np.concatenate([x.flatten().to_numpy() for x in (pivots, others)]).view(np.uint64)
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in range(len(pivots)):
             own = every[starts[i] : starts[i + 1]]
-            may = (place > i) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            may = (place > (i if among else len(pivots) - 1)) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if not may.any():
                 continue
             at = np.flatnonzero(may[owner])

@@ -2,10 +2,13 @@
 repeated rows, no rows, and extra columns whose names clash with the operators' own."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import math
+import os
 import random
+import uuid
 import zlib
 
 import duckdb
@@ -220,6 +223,47 @@ def test_line_dedup_finds_small_edits(spark):
     assert [r.text for r in out] == [*(x for x, _ in lines), *([""] * len(lines))]
 
 
+def test_lines_of_many_texts_are_normalised_at_once():
+    def plain(text):
+        lines = ["".join("0" if c in "0123456789" else " " if c in line_dedup.string.punctuation + "\t\r\x0b\x0c" else c for c in x) for x in text.lower().split("\n")]
+        return [" ".join(w for w in x.split(" ") if w) for x in lines]
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aB  \n\t.7é漢Σ"), rng.integers(0, 14))) for _ in range(300)]
+    assert line_dedup._normalised(texts).tobytes().decode().split("\n") == [x for t in texts for x in plain(t)]
+
+
+def test_pivots_meet_once(spark, monkeypatch):
+    """Of a block of several slices and tiles, every pair with a pivot is compared in one task alone; sketches are not stored."""
+    own, tables, store = linking.link_blocks, [], linking.stored
+
+    def counted(df, what):
+        tables.append(what)
+        return store(df, what)
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    path = linking.stored(spark.createDataFrame([], "a bigint, b bigint"), "met")[1]
+
+    def watched(members, verify, payload, close, **more):
+        def watching(pivots, others, label, among):
+            n, k, texts = len(pivots) + len(others), len(pivots), [*pivots.to_pylist(), *others.to_pylist()]
+            met = [(texts[i], texts[j]) for i in range(k) for j in range(i + 1 if among else k, n)]
+            os.makedirs(path.removeprefix("file://"), exist_ok=True)
+            with open(f"{path.removeprefix('file://')}/{uuid.uuid4().hex}.txt", "w") as out:
+                out.writelines("|".join(sorted(x)) + "\n" for x in met)
+            return close(pivots, others, label, among)
+
+        return own(members, verify, payload, watching, **more | {"small": 2, "pivots": 8, "tile": 16})
+
+    monkeypatch.setattr(line_dedup, "link_blocks", watched)
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefghij "), 120))
+    rows = [(i, base[:60] + "".join(rng.choice(list("klmnopqrst"), 30)) + base[60:]) for i in range(60)]
+    line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    met = [x for p in glob.glob(f"{path.removeprefix('file://')}/*.txt") for x in open(p).read().splitlines()]
+    assert met and len(met) == len(set(met)) and "sketches" not in tables
+
+
 def test_line_dedup_takes_short_lines(spark):
     rows = [(1, "Ja.\n漢字仮名交じり文です\n\n---\nfirst"), (2, "ja\n漢字仮名交じり文です\n\n---\nsecond"), (3, "no\n今日は天気がいいから散歩しましょう"), (4, "今日は天気がいいから散步しましょう\nJA!")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
