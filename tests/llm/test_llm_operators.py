@@ -359,6 +359,43 @@ def test_buckets_of_common_keys(spark):
     assert linking.buckets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [65_536, 40])
+def test_sifted_keys_are_shared(spark, monkeypatch, part):
+    """Every key of two rows or more stays, also in small parts and at both ends of the range; of the others hardly any do."""
+    monkeypatch.setattr(linking, "SIFTED_A_PART", part)
+    rng = np.random.default_rng(9)
+    common = [-(2**63), -1, 0, 2**63 - 1, *map(int, rng.integers(-(2**63), 2**63, 20))]
+    rows = [(i, -i, [*map(int, rng.integers(-(2**63), 2**63, 14)), *(int(x) for x in rng.choice(common, 2, replace=False))]) for i in range(400)]
+    count = collections.Counter(k for *_, keys in rows for k in keys)
+    kind = "id bigint, info bigint, keys array<bigint>"
+    packed, path = linking.stored(spark.createDataFrame(rows, kind).repartition(3).mapInArrow(linking.as_rows, "id binary, info binary, keys binary"), "rows")
+    found = packed.mapInArrow(linking.sifted(packed, len(rows)), kind).collect()
+    assert len(found) == len({r.id for r in found}) and all(r.info == -r.id and set(r["keys"]) <= set(rows[r.id][2]) for r in found)
+    got = collections.Counter(k for r in found for k in r["keys"])
+    assert {k: n for k, n in got.items() if n > 1} == {k: n for k, n in count.items() if n > 1}
+    assert sum(n == 1 for n in got.values()) < 0.02 * len(count)
+    assert packed.limit(0).mapInArrow(linking.sifted(packed.limit(0), 0), kind).count() == 0
+
+
+def test_keys_of_one_line_are_not_shuffled(spark, monkeypatch):
+    """Of lines that are like no other, hardly a key is sent to the buckets, and the table of keys goes."""
+    own, sent = linking.link_blocks, []
+
+    def watched(members, *a, opened, **more):
+        keys = members.mapInArrow(opened, "id bigint, info bigint, keys array<bigint>")
+        sent.append((keys.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"], members.inputFiles()))
+        return own(members, *a, opened=opened, **more)
+
+    monkeypatch.setattr(line_dedup, "link_blocks", watched)
+    rng = np.random.default_rng(6)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 90)) for _ in range(300)]
+    rows = [(i, x) for i, x in enumerate([*lines, lines[0][:40] + "Q" + lines[0][41:]])]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {i: int(i == 300) for i in range(301)}
+    (n, files), = sent
+    assert 2 <= n < 0.05 * 16 * 301 and files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_large_buckets_take_one_turn(spark, monkeypatch):
     """Keys of the members of open buckets are unpacked once, not once in each round of a few pivots."""
     seen, store = collections.Counter(), linking.stored
