@@ -8,6 +8,7 @@ import itertools
 import math
 import os
 import random
+import time
 import uuid
 import zlib
 
@@ -396,6 +397,21 @@ def test_keys_of_one_line_are_not_shuffled(spark, monkeypatch):
     assert 2 <= n < 0.05 * 16 * 301 and files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
 
 
+def test_shuffle_files_go_with_their_query(spark):
+    """stored() leaves no shuffle files that only the driver's garbage collection would remove, and leaves the session's setting alone."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tops = spark.conf.get(name, None), [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for top in tops for p in glob.glob(f"{top}/*/shuffle_*")}
+    old = files()
+    held = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    table, _ = linking.stored(held, "sums")
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - old and table.count() == held.count() == 1000
+    assert spark.conf.get(name, None) == before
+
+
 def test_large_buckets_take_one_turn(spark, monkeypatch):
     """Keys of the members of open buckets are unpacked once, not once in each round of a few pivots."""
     seen, store = collections.Counter(), linking.stored
