@@ -265,6 +265,65 @@ def test_pivots_meet_once(spark, monkeypatch):
     assert met and len(met) == len(set(met)) and "sketches" not in tables
 
 
+def test_hopeless_pairs_leave_the_band_early(monkeypatch):
+    """Steps of a table end when all its pairs need too many edits; pairs of any kind get the same answers whatever shares their table."""
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    left = [some(600) for _ in range(200)]
+    right = [some(600) for _ in range(200)]
+    steps, own = [], np.invert
+    monkeypatch.setattr(np, "invert", lambda *a, **b: steps.append(1) or own(*a, **b))
+    assert not line_dedup.edits_within(left, right).any()
+    assert 0 < len(steps) < 400  # 600 columns of two words have 2400
+    for k in range(300):  # like and unlike ones of many lengths
+        a = some(int(rng.integers(20, 500)))
+        b = list(a)
+        for _ in range(int(rng.integers(0, len(a) // 8 + 1)) if k % 3 else 3 * len(a) // 10):
+            b[int(rng.integers(0, len(b)))] = "z"
+        left, right = [*left, a], [*right, "".join(b)]
+    want = [line_dedup.edit_alike(a, b) for a, b in zip(left, right)]
+    assert 50 < sum(want) < 250
+    for few, cells in ((0, 48_000_000), (6, 48_000_000), (6, 100_000)):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        assert line_dedup.edits_within(left, right).tolist() == want
+
+
+def test_block_keys_are_mixed_at_once(monkeypatch):
+    """A call for each row of the blocks, not for each row of each block."""
+    calls, own = [], line_dedup.mixed
+    monkeypatch.setattr(line_dedup, "mixed", lambda *a: calls.append(1) or own(*a))
+    lines = [f"a line with the number {k} and some more words of its own kind" for k in range(5)]
+    for kind, (run, rows) in enumerate(line_dedup.KINDS):
+        calls.clear()
+        sketch, keys = line_dedup.sketched(lines, kind)
+        assert len(calls) == rows + 1 and keys.shape == (5, line_dedup.MINHASHES // rows)
+        for b in range(keys.shape[1]):  # the keys of a block, by themselves
+            key = np.zeros(5, np.uint64)
+            for odd in line_dedup._ODD[b * rows : (b + 1) * rows]:
+                key = own(key * np.uint64(3) + np.array([min(_run_hashes(x, run) * odd) for x in lines], np.uint64), 2 * b + kind)
+            assert (key == keys[:, b]).all()
+
+
+def _run_hashes(text, run):
+    x = np.array([ord(c) for c in text], np.uint32)
+    h = np.zeros(len(x) - run + 1, np.uint32)
+    for k in range(run):
+        h = h * np.uint32(0x9E3779B1) + x[k : len(x) - run + 1 + k]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def test_lines_of_one_half_hash_are_told_apart(spark, monkeypatch):
+    own = line_dedup.node_hashes
+    monkeypatch.setattr(line_dedup, "node_hashes", lambda lines: (np.array([7 if x.startswith(b"same half") else h for x, h in zip(lines, own(lines)[0])], np.uint64), own(lines)[1]))
+    one, two = "same half of a hash, the first text of two", "same half, but another text altogether: nothing is alike"
+    rows = [(1, f"{one}\nrest 1"), (2, f"{two}\nother"), (3, f"{one}\nsome"), (4, f"{two}\nmore")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: f"{one}\nrest 1", 2: f"{two}\nother", 3: "some", 4: "more"}
+
+
 def test_line_dedup_takes_short_lines(spark):
     rows = [(1, "Ja.\n漢字仮名交じり文です\n\n---\nfirst"), (2, "ja\n漢字仮名交じり文です\n\n---\nsecond"), (3, "no\n今日は天気がいいから散歩しましょう"), (4, "今日は天気がいいから散步しましょう\nJA!")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
